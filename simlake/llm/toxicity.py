@@ -1,10 +1,12 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences and only the document is labelled.
 
-A sentence's score is a logistic function of its hashed words; a document's is the noisy-or 1 - prod(1 - score). The weights
-are fitted to document labels by gradient steps on the likelihood of the noisy-or, over a bounded sample of labelled documents
-(`sample`, the one bound here), so that blame goes to the sentences that explain the label. Scoring is one map-only
-pass of sparse numpy batches over whole texts. A document at or over `threshold` is toxic; its offending sentences are those whose own
-score is at least `sentence_threshold`, and its highest sentence in any case.
+A sentence's score is a logistic function of the distinct hashed words, and word beginnings of four and five bytes, that it has; a
+document's is the noisy-or 1 - prod(1 - score). The weights are fitted to document labels by gradient steps on the likelihood of the noisy-or,
+over a bounded sample of labelled documents (`sample`, the one bound here), so that blame goes to the sentences that
+explain the label: first with an L1 penalty, which leaves few features, then those alone with the bias held low, since the
+noisy-or would otherwise add up the bias of a long text's many sentences. Scoring is one map-only pass of sparse numpy batches over
+whole texts. A document at or over `threshold` is toxic; its offending sentences are those whose own score is at least
+`sentence_threshold`, and its highest sentence in any case.
 
 Sentences end at '.', '!' or '?' before white space, and at line ends. Defined cases: null, empty and word-less texts have score 0; null labels
 and null ids are left out of the fit; repeated (doc_id, toxic) labels count once, contradictory ones as toxic; repeated
@@ -24,7 +26,7 @@ from . import npwords as W
 from .tables import same_columns, with_text
 
 #: Parameters of production. FEATURES is a power of two.
-SAMPLE, FEATURES, EPOCHS, MIN_DOCS, L2, THRESHOLD, SENTENCE_THRESHOLD = 10_000, 1 << 18, 60, 5, 1e-3, 0.5, 0.5
+SAMPLE, FEATURES, EPOCHS, MIN_DOCS, L1, BIAS, THRESHOLD, SENTENCE_THRESHOLD = 10_000, 1 << 18, 60, 5, 3e-4, -10.0, 0.5, 0.5
 SENTENCES = "doc_id bigint, doc_score double, sentence int, start int, end int, score double, sentence_text string"
 
 
@@ -38,6 +40,20 @@ def _sentences(c: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(ends, c.s, "right"), ends
 
 
+def _features(c: W.Chunk) -> np.ndarray:
+    """Three rows of feature numbers, a column for each word; 0 stands for none."""
+    values = W._BYTE[c.data]
+    out = np.zeros((3, len(c.h)), np.int64)
+    for k, h in enumerate((c.h, *(W.mix(W.span_hashes(values, c.s, np.minimum(c.e, c.s + n)) + W.U(n)) for n in (4, 5)))):
+        f = 1 + (h % W.U(FEATURES - 1)).astype(np.int64)
+        out[k] = np.where(c.e - c.s > 3 + k, f, 0) if k else f
+    return out
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -46,17 +62,22 @@ class Model:
     sentence_threshold: float
 
     def scores(self, c: W.Chunk):
-        """Per sentence with words: its row, its number in the chunk, its score; then each row's score; then sentence ends."""
+        """Of each sentence with a weighted feature: its row, its number in the chunk, its score; then each row's score; then sentence ends."""
         sent, ends = _sentences(c)
+        n_rows = c.hi - c.lo
         if not len(sent):
-            return sent, sent, np.zeros(0), np.zeros(c.hi - c.lo), ends
-        first = np.flatnonzero(np.append(True, sent[1:] != sent[:-1]))
-        z = np.add.reduceat(self.weights[(c.h & W.U(len(self.weights) - 1)).astype(np.int64)], first).astype(float) + self.bias
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        row = c.rows()[first]
-        none = np.zeros(c.hi - c.lo)
-        np.add.at(none, row, np.log1p(-np.minimum(p, 1 - 1e-12)))
-        return row, sent[first], p, -np.expm1(none), ends
+            return sent, sent, np.zeros(0), np.zeros(n_rows), ends
+        f = _features(c)
+        k, at = np.nonzero(self.weights[f])
+        pair = np.unique(sent[at] * FEATURES + f[k, at])
+        own, first = np.unique(pair // FEATURES, return_index=True)
+        p = _sigmoid(np.add.reduceat(self.weights[pair % FEATURES], first) + self.bias) if len(pair) else np.zeros(0)
+        row = np.searchsorted(c.offs, ends[own], "left") - 1
+        many = np.append(True, sent[1:] != sent[:-1])
+        base = np.log1p(-_sigmoid(np.array(self.bias)))
+        none = np.bincount(c.rows()[many], minlength=n_rows) * base
+        np.add.at(none, row, np.log1p(-np.minimum(p, 1 - 1e-12)) - base)
+        return row, own, p, -np.expm1(none), ends
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int, bytes]]:
@@ -71,10 +92,11 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int
             feats: list[bytes] = [b""] * b.num_rows
             for c in W.chunks(b.column(1)):
                 sent, _ = _sentences(c)
-                f = (c.h & W.U(FEATURES - 1)).astype(np.uint32)
+                f = _features(c)
                 for r in range(c.hi - c.lo):
                     a, z = c.word_at[r], c.word_at[r + 1]
-                    feats[c.lo + r] = np.stack([f[a:z], (sent[a:z] - (sent[a] if z > a else 0)).astype(np.uint32)]).tobytes()
+                    pair = np.unique(((sent[a:z] - (sent[a] if z > a else 0)) * FEATURES + f[:, a:z])[f[:, a:z] > 0])
+                    feats[c.lo + r] = np.stack([pair % FEATURES, pair // FEATURES]).astype(np.uint32).tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(feats, pa.binary())], ["toxic", "feats"])
 
     # The sample's ids are bounded by the parameter, so their side may be broadcast.
@@ -82,44 +104,55 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int
     return [(int(r[0]), bytes(r[1])) for r in joined.mapInArrow(each, "toxic int, feats binary").collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS, min_docs: int = MIN_DOCS, l2: float = L2, threshold: float = THRESHOLD, sentence_threshold: float = SENTENCE_THRESHOLD) -> Model:
-    """The model of a sample's labels. Words of fewer than min_docs documents of the sample have no weight."""
-    weights, bias = np.zeros(FEATURES), -6.0
-    bags = [(y, np.frombuffer(f, np.uint32).reshape(2, -1)) for y, f in sorted(_labelled(docs, labels, sample))]
+def _descend(word, sent, doc_of, y, n, l1, bias, epochs, rate=1.0, v=None, free=True):
+    """Proximal AdaGrad on the negative mean log-likelihood of the noisy-or. Returns the weights and the bias."""
+    v, g2, gb2 = np.zeros(n) if v is None else v, np.full(n, 1e-8), 1e-8
+    for _ in range(epochs):
+        p = _sigmoid(np.bincount(sent, v[word], len(doc_of)) + bias)
+        none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
+        some = np.maximum(-np.expm1(none), 1e-9)
+        dz = np.where(y[doc_of] > 0, p * ((1 - some) / some)[doc_of], -p)
+        g = np.bincount(word, dz[sent], n) / len(y)
+        g2 += g * g
+        step = rate / np.sqrt(g2)
+        v = v + step * g
+        v = np.sign(v) * np.maximum(np.abs(v) - step * l1, 0)
+        if free:
+            gb = dz.sum() / len(y)
+            gb2 += gb * gb
+            bias = min(-3.0, bias + 0.2 * gb / np.sqrt(gb2))
+    return v, bias
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS, min_docs: int = MIN_DOCS, l1: float = L1, bias: float = BIAS, threshold: float = THRESHOLD, sentence_threshold: float = SENTENCE_THRESHOLD) -> Model:
+    """The model of a sample's labels. Features of fewer than min_docs documents of the sample have no weight."""
+    weights = np.zeros(FEATURES)
+    bags = [(y, np.frombuffer(f, np.uint32).reshape(2, -1).astype(np.int64)) for y, f in sorted(_labelled(docs, labels, sample))]
     bags = [(y, f) for y, f in bags if f.shape[1]]
     y = np.array([b[0] for b in bags], float)
     if len(bags) and 0 < y.sum() < len(y):
-        seen = np.zeros(FEATURES, np.int32)
+        seen = np.zeros(FEATURES, np.int64)
         for _, f in bags:
             seen[np.unique(f[0])] += 1
-        least = min(min_docs, max(1, int(y.sum()) // 4))
-        used = np.flatnonzero(seen >= least)
+        used = np.flatnonzero(seen >= min(min_docs, max(1, int(y.sum()) // 4)))
+        sizes = np.array([int(f[1].max()) + 1 for _, f in bags])
+        base = np.cumsum(np.append(0, sizes))
+        word = np.concatenate([f[0] for _, f in bags])
+        sent = np.concatenate([f[1] + k for (_, f), k in zip(bags, base)])
+        doc_of = np.repeat(np.arange(len(y)), sizes)
         index = np.full(FEATURES, -1, np.int64)
         index[used] = np.arange(len(used))
-        word, sent, doc_of, k = [], [], [], 0
-        for i, (_, f) in enumerate(bags):
-            w = index[f[0]]
-            n = int(f[1].max()) + 1
-            word.append(w[w >= 0])
-            sent.append(f[1][w >= 0].astype(np.int64) + k)
-            doc_of.append(np.full(n, i))
-            k += n
-        word, sent, doc_of = (np.concatenate(x) for x in (word, sent, doc_of))
-        v, g2, gb2 = np.zeros(len(used)), np.full(len(used), 1e-6), 1e-6
-        for _ in range(epochs):
-            z = np.bincount(sent, v[word], len(doc_of)) + bias
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
-            some = np.maximum(-np.expm1(none), 1e-9)
-            dz = np.where(y[doc_of] > 0, p * ((1 - some) / some)[doc_of], -p)
-            g = np.bincount(word, dz[sent], len(used)) / len(y) - l2 / 10 * v
-            gb = dz.sum() / len(y)
-            g2 += g * g
-            gb2 += gb * gb
-            v += 0.5 * g / np.sqrt(g2)
-            bias = min(-3.0, bias + 0.2 * gb / np.sqrt(gb2))
-        weights[used] = v
-    return Model(weights.astype(np.float32), float(bias), threshold, sentence_threshold)
+        keep = index[word] >= 0
+        word, sent = index[word[keep]], sent[keep]
+        v, _ = _descend(word, sent, doc_of, y, len(used), l1, -6.0, epochs)
+        kept = np.flatnonzero(np.abs(v) > 0.5)
+        if len(kept):
+            index = np.full(len(used), -1, np.int64)
+            index[kept] = np.arange(len(kept))
+            keep = index[word] >= 0
+            v, _ = _descend(index[word[keep]], sent[keep], doc_of, y, len(kept), l1 / 30, bias, 2 * epochs, v=v[kept] + (-bias - 6) * (v[kept] > 0), free=False)
+            weights[used[kept]] = v
+    return Model(weights, bias, threshold, sentence_threshold)
 
 
 def offending_sentences(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
