@@ -92,7 +92,7 @@ def raw_chunks(column: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, i
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(offs, offs[lo] + target, "right")) - 1))
+        hi = min(n, lo + 60_000, max(lo + 1, int(np.searchsorted(offs, offs[lo] + target, "right")) - 1))
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licences, toxicity
+from . import bagminhash, decontam, licences, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,5 +25,9 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_matches(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_benchmark_decontamination, op7_toxicity, op8_licence_scan)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_benchmark_decontamination, op7_toxicity, op8_licence_scan, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
