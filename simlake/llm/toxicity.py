@@ -104,21 +104,49 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int
     return [(int(r[0]), bytes(r[1])) for r in joined.mapInArrow(each, "toxic int, feats binary").collect()]
 
 
-def _descend(word, sent, doc_of, y, n, l1, bias, epochs, rate=1.0, v=None, free=True):
+#: Documents whose sentences are held as arrays at a time while fitting.
+BLOCK = 250
+
+
+@dataclass
+class Block:
+    """Some bags: the features of their sentences, the sentences, their documents, the labels."""
+
+    word: np.ndarray
+    sent: np.ndarray
+    doc_of: np.ndarray
+    y: np.ndarray
+
+    def only(self, index: np.ndarray) -> Block:
+        keep = index[self.word] >= 0
+        return Block(index[self.word[keep]].astype(np.int32), self.sent[keep], self.doc_of, self.y)
+
+
+def _block(bags: list[tuple[int, bytes]]) -> Block:
+    each = [np.frombuffer(f, np.uint32).reshape(2, -1) for _, f in bags]
+    sizes = np.array([int(f[1].max()) + 1 for f in each])
+    base = np.cumsum(np.append(0, sizes))
+    return Block(np.concatenate([f[0] for f in each]).astype(np.int32), np.concatenate([f[1] + k for f, k in zip(each, base)]).astype(np.int32), np.repeat(np.arange(len(each)), sizes), np.array([y for y, _ in bags], float))
+
+
+def _descend(blocks: list[Block], n: int, l1: float, bias: float, epochs: int, rate: float = 1.0, v=None, free: bool = True):
     """Proximal AdaGrad on the negative mean log-likelihood of the noisy-or. Returns the weights and the bias."""
     v, g2, gb2 = np.zeros(n) if v is None else v, np.full(n, 1e-8), 1e-8
+    total = sum(len(b.y) for b in blocks)
     for _ in range(epochs):
-        p = _sigmoid(np.bincount(sent, v[word], len(doc_of)) + bias)
-        none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
-        some = np.maximum(-np.expm1(none), 1e-9)
-        dz = np.where(y[doc_of] > 0, p * ((1 - some) / some)[doc_of], -p)
-        g = np.bincount(word, dz[sent], n) / len(y)
+        g, gb = np.zeros(n), 0.0
+        for b in blocks:
+            p = _sigmoid(np.bincount(b.sent, v[b.word], len(b.doc_of)) + bias)
+            none = np.bincount(b.doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(b.y))
+            some = np.maximum(-np.expm1(none), 1e-9)
+            dz = np.where(b.y[b.doc_of] > 0, p * ((1 - some) / some)[b.doc_of], -p)
+            g += np.bincount(b.word, dz[b.sent], n) / total
+            gb += dz.sum() / total
         g2 += g * g
         step = rate / np.sqrt(g2)
         v = v + step * g
         v = np.sign(v) * np.maximum(np.abs(v) - step * l1, 0)
         if free:
-            gb = dz.sum() / len(y)
             gb2 += gb * gb
             bias = min(-3.0, bias + 0.2 * gb / np.sqrt(gb2))
     return v, bias
@@ -127,30 +155,26 @@ def _descend(word, sent, doc_of, y, n, l1, bias, epochs, rate=1.0, v=None, free=
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS, min_docs: int = MIN_DOCS, l1: float = L1, bias: float = BIAS, threshold: float = THRESHOLD, sentence_threshold: float = SENTENCE_THRESHOLD) -> Model:
     """The model of a sample's labels. Features of fewer than min_docs documents of the sample have no weight."""
     weights = np.zeros(FEATURES)
-    bags = [(y, np.frombuffer(f, np.uint32).reshape(2, -1).astype(np.int64)) for y, f in sorted(_labelled(docs, labels, sample))]
-    bags = [(y, f) for y, f in bags if f.shape[1]]
-    y = np.array([b[0] for b in bags], float)
-    if len(bags) and 0 < y.sum() < len(y):
+    bags = sorted(x for x in _labelled(docs, labels, sample) if x[1])
+    positive = sum(y for y, _ in bags)
+    if 0 < positive < len(bags):
         seen = np.zeros(FEATURES, np.int64)
         for _, f in bags:
-            seen[np.unique(f[0])] += 1
-        used = np.flatnonzero(seen >= min(min_docs, max(1, int(y.sum()) // 4)))
-        sizes = np.array([int(f[1].max()) + 1 for _, f in bags])
-        base = np.cumsum(np.append(0, sizes))
-        word = np.concatenate([f[0] for _, f in bags])
-        sent = np.concatenate([f[1] + k for (_, f), k in zip(bags, base)])
-        doc_of = np.repeat(np.arange(len(y)), sizes)
+            seen[np.unique(np.frombuffer(f, np.uint32)[: len(f) // 8])] += 1
+        used = np.flatnonzero(seen >= min(min_docs, max(1, positive // 4)))
         index = np.full(FEATURES, -1, np.int64)
         index[used] = np.arange(len(used))
-        keep = index[word] >= 0
-        word, sent = index[word[keep]], sent[keep]
-        v, _ = _descend(word, sent, doc_of, y, len(used), l1, -6.0, epochs)
+        blocks = []
+        while bags:
+            blocks.append(_block(bags[-BLOCK:]).only(index))
+            del bags[-BLOCK:]
+        v, _ = _descend(blocks, len(used), l1, -6.0, epochs)
         kept = np.flatnonzero(np.abs(v) > 0.5)
         if len(kept):
             index = np.full(len(used), -1, np.int64)
             index[kept] = np.arange(len(kept))
-            keep = index[word] >= 0
-            v, _ = _descend(index[word[keep]], sent[keep], doc_of, y, len(kept), l1 / 30, bias, 2 * epochs, v=v[kept] + (-bias - 6) * (v[kept] > 0), free=False)
+            blocks = [b.only(index) for b in blocks]
+            v, _ = _descend(blocks, len(kept), l1 / 30, bias, 2 * epochs, v=v[kept] + (-bias - 6) * (v[kept] > 0), free=False)
             weights[used[kept]] = v
     return Model(weights, bias, threshold, sentence_threshold)
 
