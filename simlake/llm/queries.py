@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontam, licences, toxicity
+from . import bagminhash, decontam, licences, line_dedup, matroska, packing, preferences, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +29,25 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_benchmark_decontamination, op7_toxicity, op8_licence_scan, op10_minhash_near_dedup)}
-ORACLES: dict[str, str] = {}
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op2_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.format_preferences(preferences.stale_reply_pairs(_table(spark, sf_dir, "conversations")))
+
+
+def op4_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.packets(matroska.subtitle_files(_table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_benchmark_decontamination, op7_toxicity, op1_line_dedup, op2_preference_formatting, op4_matroska_packets, op3_token_counts, op5_packing, op8_licence_scan, op10_minhash_near_dedup)}
+ORACLES: dict[str, str] = {"op2_preference_formatting": preferences.ORACLE}
