@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontam, licences, line_dedup, matroska, packing, preferences, token_counts, toxicity
+from . import bagminhash, decontam, licences, line_dedup, matroska, maxent, packing, preferences, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +49,9 @@ def op4_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.packets(matroska.subtitle_files(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_benchmark_decontamination, op7_toxicity, op1_line_dedup, op2_preference_formatting, op4_matroska_packets, op3_token_counts, op5_packing, op8_licence_scan, op10_minhash_near_dedup)}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_benchmark_decontamination, op7_toxicity, op1_line_dedup, op2_preference_formatting, op4_matroska_packets, op3_token_counts, op5_packing, op8_licence_scan, op9_lm_scoring, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {"op2_preference_formatting": preferences.ORACLE}
