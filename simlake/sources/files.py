@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, name, code, path, reject): .asm and .txt files below a directory, whatever the case; empty and non-UTF-8 files are marked as rejects."""
+    """(ord, name, code, path, reject): .asm and .txt files below a directory, whatever the case; blank and non-UTF-8 files are marked as rejects. Files of no bytes are left out by Spark's scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(asm|txt)$"))
     code = F.expr("try_validate_utf8(cast(content as string))")
     name = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)

@@ -129,7 +129,7 @@ def test_directory_source_and_sinks(spark, small, tmp_path):
     (d / "one.asm").write_text(LOOP)
     (d / "two.TXT").write_text("nop")
     (d / "bad.asm").write_bytes(b"\xff\xfe\x00")
-    (d / "none.asm").write_text("")
+    (d / "none.asm").write_text(" \n")
     (d / "other.c").write_text("int x;")
     got = {r.name: (r.code, r.reject) for r in files.read_directory(spark, str(tmp_path / "in")).collect()}
     assert got == {"one": (LOOP, None), "two": ("nop", None), "bad": (None, "not UTF-8"), "none": (None, "empty")}
