@@ -119,18 +119,18 @@ def signatures(row: np.ndarray, g: np.ndarray, n: np.ndarray, rows: int, m: int
 
 
 def _band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
-    bits = np.ascontiguousarray(sig).view(U).reshape(len(sig), bands, -1)
+    bits = np.ascontiguousarray(sig).view(U).reshape(len(sig), bands, sig.shape[1] // bands)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=U) * U(0xA0761D6478BD642F), bits.shape[:2])
     for j in range(bits.shape[2]):
         key = W.mix(key * U(3) + bits[:, :, j])
     return key
 
 
-def _buckets(rec: np.ndarray) -> list[np.ndarray]:
-    rec = np.unique(rec)
-    at = np.flatnonzero(np.append(True, rec["key"][1:] != rec["key"][:-1]))
-    size = np.diff(np.append(at, len(rec)))
-    return [rec["id"][a : a + n] for a, n in zip(at[size > 1].tolist(), size[size > 1].tolist())]
+def _buckets(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rec = rec[np.lexsort((rec["id"], rec["key"]))]
+    rec = rec[np.append(True, (rec["key"][1:] != rec["key"][:-1]) | (rec["id"][1:] != rec["id"][:-1]))]
+    size = np.diff(np.flatnonzero(np.concatenate([[True], rec["key"][1:] != rec["key"][:-1], [True]])))
+    return rec["id"][np.repeat(size > 1, size)], size[size > 1]
 
 
 def _ids_of(c: W.Chunk) -> tuple:
@@ -159,9 +159,8 @@ def multiset_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, thres
     text = with_text(docs, "text")
     buckets = regroup(text.mapInArrow(sign, PACKED), _KEY, _buckets)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        some = pairs.sparkSession.sparkContext.broadcast(Membership.of(ids, "id"))
+    def fetch(ids: DataFrame) -> DataFrame:
+        some = ids.sparkSession.sparkContext.broadcast(Membership.of(ids, "id"))
 
         def feats(batches):
             for b in batches:
@@ -174,13 +173,11 @@ def multiset_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, thres
                         keys.append(own[r])
                         bags.append(np.sort(np.repeat((g[s] >> U(16)).astype(np.uint32), n[s])).tobytes())
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bags, pa.binary())], ["id", "bag"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bags, pa.binary())], ["id", "thing"])
 
-        bag = text.mapInArrow(feats, "id bigint, bag binary").dropDuplicates(["id"])
-        bag = cut(bag)
-        # A leader's bag is sent once to all that are held against it.
-        joined = pairs.join(bag.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b").join(bag.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a")
+        return text.mapInArrow(feats, "id bigint, thing binary").dropDuplicates(["id"])
 
+    def holds(both: DataFrame) -> DataFrame:
         def overlap(batches):
             for b in batches:
                 keep = []
@@ -189,9 +186,9 @@ def multiset_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, thres
                     keep.append(min(len(x), len(y)) >= threshold * max(len(x), len(y)) and overlap_of(x, y) >= threshold)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return joined.select("a", "b", "bag_a", "bag_b").mapInArrow(overlap, "a bigint, b bigint")
+        return both.mapInArrow(overlap, "a bigint, b bigint")
 
-    return verified_groups(buckets, verify)
+    return verified_groups(buckets, fetch, holds)
 
 
 def overlap_of(x: np.ndarray, y: np.ndarray) -> float:

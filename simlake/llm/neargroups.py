@@ -3,7 +3,7 @@
 Both near-duplicate operators end here. Things have 64-bit ids that stand for their content, so equal contents are one thing.
 Their bucket keys move between tasks as packed byte blocks, many records to a row. A bucket's members are candidates for each
 other. Verifying every pair of a hot bucket would cost the square of its size, so the connected groups are found in two rounds:
-each bucket's members are held against its leader; then, of each bucket that still spans several groups, the pairs across groups.
+members are held against their buckets' leaders; then, of each bucket that still spans several groups, the pairs across groups.
 A pair within one group needs no verdict. So the groups are those of all verified candidate pairs, and no bucket has a limit.
 """
 
@@ -21,7 +21,6 @@ from .components import connected_components
 from .tables import cut
 
 PACKED = "pid int, blob binary"
-_REC = np.dtype([("pid", "<i4")])
 
 
 def block_count(spark: SparkSession) -> int:
@@ -29,32 +28,56 @@ def block_count(spark: SparkSession) -> int:
     return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def pack(keys: np.ndarray, records: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
+def pack(keys: np.ndarray, records: np.ndarray, blocks: int, encode: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> Iterator[tuple[int, bytes]]:
     """The records as one byte string per block of their keys."""
     pid = (W.mix(keys) % W.U(blocks)).astype(np.int32)
     order = np.argsort(pid, kind="stable")
     pid, records = pid[order], records[order]
     at = np.flatnonzero(np.append(True, pid[1:] != pid[:-1])) if len(pid) else []
     for a, z in zip(at, np.append(at[1:], len(pid)) if len(pid) else []):
-        yield int(pid[a]), records[a:z].tobytes()
+        yield int(pid[a]), encode(records[a:z])
 
 
 def packed_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["pid", "blob"])
 
 
-def regroup(packed: DataFrame, dtype: np.dtype, fn: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """members array<bigint>: fn gets all records of some blocks at once and returns buckets as sorted arrays of distinct ids."""
+def planes(records: np.ndarray) -> bytes:
+    """Records in order of their keys, field by field, keys as differences and integers of up to four bytes as planes of like bytes: what is regular compresses."""
+    records = records[np.argsort(records["key"], kind="stable")]
+    out = []
+    for name in records.dtype.names:
+        v = np.ascontiguousarray(records[name])
+        if name == "key":
+            v = np.diff(v, prepend=v.dtype.type(0))
+        out.append(np.ascontiguousarray(v.view(np.uint8).reshape(len(v), -1).T).tobytes() if v.itemsize <= 4 else v.tobytes())
+    return b"".join(out)
+
+
+def unplanes(blob, dtype: np.dtype) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8)
+    out = np.empty(len(raw) // dtype.itemsize, dtype)
+    at = 0
+    for name in dtype.names:
+        kind = dtype[name]
+        part = raw[at : at + len(out) * kind.itemsize]
+        at += len(part)
+        v = np.ascontiguousarray(part.reshape(kind.itemsize, -1).T).view(kind)[:, 0] if kind.itemsize <= 4 else part.view(kind)
+        out[name] = np.cumsum(v, dtype=kind) if name == "key" else v
+    return out
+
+
+def regroup(packed: DataFrame, dtype: np.dtype, fn: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], decode: Callable = np.frombuffer) -> DataFrame:
+    """members array<bigint>: fn gets all records of some blocks at once and returns buckets of distinct ids, as ids and sizes."""
 
     def each(batches):
-        parts = [np.frombuffer(x.as_buffer() or b"", dtype) for b in batches for x in b.column(1)]
+        parts = [decode(x.as_buffer(), dtype) for b in batches for x in b.column(1)]
         if parts:
-            found = fn(np.concatenate(parts))
-            for i in range(0, len(found), 5000):
-                some = found[i : i + 5000]
-                flat = pa.array(np.concatenate(some).astype(np.int64))
-                offs = pa.array(np.cumsum([0, *map(len, some)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offs, flat)], ["members"])
+            flat, sizes = fn(np.concatenate(parts))
+            offs = np.append(0, np.cumsum(sizes))
+            for i in range(0, len(sizes), 20_000):
+                o = offs[i : i + 20_001]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(o - o[0], pa.int32()), pa.array(flat[o[0] : o[-1]].astype(np.int64)))], ["members"])
 
     return packed.repartition("pid").mapInArrow(each, "members array<bigint>")
 
@@ -97,12 +120,26 @@ class Membership:
         return ok
 
 
-def verified_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, root) of all ids in groups of two or more. verify gives those of the pairs (a, b) that hold."""
+def verified_groups(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], holds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, root) of all ids in groups of two or more. fetch gives (id, thing) of ids (id); holds gives those (a, b) of pairs (a, b, x, y), y the thing of b, that are near."""
     buckets = cut(buckets.distinct())
-    star = buckets.select(F.explode(F.slice("members", 2, F.size("members") - 1)).alias("b"), F.col("members")[0].alias("a")).select("a", "b").distinct()
-    edges = cut(verify(star))
+    things = cut(fetch(buckets.select(F.explode("members").alias("id")).distinct()))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(things.select(F.col("id").alias("b"), F.col("thing").alias("y")), "b").join(things.select(F.col("id").alias("a"), F.col("thing").alias("x")), "a")
+        return cut(holds(both.select("a", "b", "x", "y")))
+
+    star = cut(buckets.select(F.explode(F.slice("members", 2, F.size("members") - 1)).alias("b"), F.col("members")[0].alias("a")).select("a", "b").distinct())
+    # A member of many buckets has many leaders: first one each, then those that are not of its group yet.
+    one = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    edges = verify(one)
     groups = connected_components(edges)
+    ends = [groups.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    apart = star.join(one, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    rest = cut(apart.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b"))
+    if not rest.isEmpty():
+        edges = cut(edges.union(verify(rest)))
+        groups = connected_components(edges)
 
     numbered = buckets.select(F.xxhash64("members").alias("n"), F.explode("members").alias("id"), F.col("members")[0].alias("lead"))
     spans = numbered.join(groups, "id", "left").select("n", "id", "lead", F.coalesce("root", "id").alias("root"))
@@ -123,7 +160,6 @@ def verified_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     cross = cut(several.mapInArrow(across, "a bigint, b bigint").distinct())
-    more = cut(verify(cross))
-    if more.isEmpty():
+    if cross.isEmpty():
         return groups
-    return connected_components(edges.select("a", "b").union(more.select("a", "b")))
+    return connected_components(edges.union(verify(cross)))
