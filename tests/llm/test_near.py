@@ -8,6 +8,7 @@ import pytest
 from simlake.llm import bagminhash as B
 from simlake.llm import npwords as W
 from simlake.llm.components import connected_components, roots
+from simlake.llm import line_dedup as D
 from simlake.llm.line_dedup import drop_duplicate_lines, duplicate_lines, edits_within
 
 
@@ -140,3 +141,23 @@ def test_lines_in_hard_cases(spark, make_docs, hard):
     assert duplicate_lines(make_docs([])).count() == 0 and drop_duplicate_lines(make_docs([])).count() == 0
     twice = make_docs([(1, "a b c\nd e f"), (1, "a b c\nd e f"), (2, "a b c")])
     assert sorted((x.doc_id, x.text) for x in drop_duplicate_lines(twice).collect()) == [(1, "a b c\nd e f")] * 2
+
+
+def test_lines_of_edited_characters_are_candidates(prose):
+    r = random.Random(11)
+
+    def edited(t, k):
+        out = list(t)
+        for p in r.sample([i for i, x in enumerate(t) if x != " "], k):
+            out[p] = r.choice(["q", "z", "", out[p] + "v"])
+        return "".join(out)
+
+    for words, share in itertools.product((4, 7, 11, 60), (0, 0.05, 0.08)):
+        lines = [prose(20_000 + 1000 * words + i, words).replace(".", "") for i in range(60)]
+        lines = [(x, edited(x, max(1, int(share * len(x))))) for x in lines if len(x) > 20]
+        key = lambda t: int(D.Lines(next(W.chunks(pa.array([t])))).key[0])
+        rec = np.concatenate([D.sketches(c, D.SIMILARITY, D.BLOCKS, D.BLOCK_BITS) for c in W.chunks(pa.array([y for x in lines for y in x]))])
+        ids, sizes = D.near_in_blocks(rec, D.SIMILARITY, D.CHECK_BITS)
+        found = {frozenset(p) for b in np.split(ids, np.cumsum(sizes)[:-1]) for p in itertools.combinations(b.tolist(), 2)}
+        near = [frozenset((key(x), key(y))) for x, y in lines if edits_within(x, y, int(0.1 * max(len(x), len(y)) + 1e-9))]
+        assert len(near) > 15 and sum(p in found for p in near) >= 0.9 * len(near), (words, share)
