@@ -1,10 +1,12 @@
 """Licence scan: units of a text against licence templates, by the Dice coefficient over sets of word bigrams.
 
-Units are each line, each paragraph (a run of lines between blank ones) of several lines, and the whole text if it has several
-paragraphs. Dice(A, B) = 2 |A & B| / (|A| + |B|). Since it is at most 2 min / (|A| + |B|), only templates whose number of
+Units are each line, each paragraph (a run of lines between blank ones) of several lines, the whole text if it has several
+paragraphs, and each run of consecutive sentences, within a line or over lines and paragraphs. Sentences end at '.', '!', '?', ':' or ';' before
+white space, and at line ends. Dice(A, B) = 2 |A & B| / (|A| + |B|). Since it is at most 2 min / (|A| + |B|), only templates whose number of
 bigrams lies in [a t / (2 - t), a (2 - t) / t] of a unit's number a can reach the threshold t; units that share no bigram with any
 template are passed over in bulk. The best template of a unit is reported (highest coefficient, then name); a larger unit
-only where it is a better match than any unit within it.
+only where it is a better match than any unit within it. A run is reported where no better unit of the same licence overlaps it, nor a
+better one of another licence of which it shares at least half.
 
 Defined cases: null and empty texts, and units of fewer than two words, match nothing; repeated documents are each reported;
 templates may be given as (name, text) pairs, of which null or one-word texts match nothing and equal ones tie by name.
@@ -40,7 +42,8 @@ class Scanner:
         self.sets.sort(key=lambda x: (x[0], x[1]))
         self.sizes = np.array([x[0] for x in self.sets])
         every = np.unique(np.concatenate([x[2] for x in self.sets])) if self.sets else np.zeros(0, W.U)
-        self.known = W.Table(every, np.zeros(len(every))) if len(every) else None
+        self.known = W.Table(every, np.arange(len(every))) if len(every) else None
+        self.member = np.array([np.isin(every, x[2]) for x in self.sets]).reshape(len(self.sets), len(every))
 
     def best(self, grams: np.ndarray) -> tuple[float, str] | None:
         """Of one unit's distinct bigrams, sorted."""
@@ -54,16 +57,50 @@ class Scanner:
                 top = (d, name)
         return top
 
+    def runs(self, g: np.ndarray, known: np.ndarray, atom: np.ndarray) -> list[tuple[float, str, int, int, int]]:
+        """(dice, licence, first word, last word, bigrams) of runs of sentences of one text; known are the bigrams' numbers or -1, atom the words' sentences."""
+        some = np.unique(known[known >= 0])
+        least = self.sizes * self.t / (2 - self.t) - 1e-9  # of shared bigrams, at any size of unit
+        start = np.flatnonzero(np.append(True, atom[1:] != atom[:-1]))
+        end = np.append(start[1:], len(atom)) - 1  # last words
+        out = []
+        for k in np.flatnonzero(self.member[:, some].sum(1) >= least).tolist():
+            n, name, _ = self.sets[k]
+            most = n * (2 - self.t) / self.t + 1e-9
+            mine = (known >= 0) & self.member[k, known]
+            hits = np.append(0, np.cumsum(mine))
+            for i in np.flatnonzero(hits[np.minimum(end + 1, len(g))] > hits[np.minimum(start, len(g))]).tolist():
+                a, reach = int(start[i]), 2 * n + 64
+                while True:
+                    part = g[a : a + reach]
+                    new = np.zeros(len(part), bool)
+                    new[np.unique(part, return_index=True)[1]] = True
+                    size = np.cumsum(new)
+                    if size[-1] > most or a + reach >= len(g):
+                        break
+                    reach *= 2
+                shared = np.cumsum(new & mine[a : a + reach])
+                last = end[i:][(end[i:] > a) & (end[i:] <= a + len(part))] - a - 1  # the last bigram within each run
+                d = 2 * shared[last] / (size[last] + n)
+                if len(d) and d.max() >= self.t - 1e-12:
+                    j = last[np.argmax(d)]
+                    out.append((float(d.max()), name, a, int(a + j + 1), int(size[j])))
+        return sorted(out, key=lambda x: (-x[0], x[1], x[2]))
+
     def scan(self, c: W.Chunk) -> list[tuple[int, str, int, int, str, float, int]]:
         if self.known is None or len(c.h) < 2:
             return []
         row = c.rows()
         g, at = W.ngrams(c.h, row, 2)
-        hit = self.known.get(g) >= 0
+        known = self.known.get(g)
+        hit = known >= 0
         if not hit.any():
             return []
         out = []
         newline = np.flatnonzero(c.data == 10)
+        stop = np.isin(c.data, np.frombuffer(b".!?:;", np.uint8))
+        stop[:-1] &= np.isin(c.data[1:], np.frombuffer(b" \t\r\n", np.uint8))
+        atom = np.append(0, np.cumsum(stop | (c.data == 10) | (c.data == 13)))[c.s]
         for r in np.unique(row[at[hit]]).tolist():
             a, z = int(c.offs[r]), int(c.offs[r + 1])
             nl = newline[np.searchsorted(newline, a) : np.searchsorted(newline, z)]
@@ -89,6 +126,12 @@ class Scanner:
                 i = np.unique(own[np.searchsorted(first, s) : np.searchsorted(first, e, "right")][last[np.searchsorted(first, s) : np.searchsorted(first, e, "right")] <= e])
                 if (top := self.best(i)) and not any(s <= f[1] and f[2] <= e and f[4] >= top[0] for f in found):
                     found.append((kind, s, e, top[1], top[0], len(i)))
+            place = [(f[4], f[3], *np.searchsorted(of, (f[1], f[2] + 1)).tolist()) for f in found]
+            for d, name, a, z, n in self.runs(own, known[i0:i1], atom[w0:w1]):
+                shares = [(m, min(z + 1, y) - max(a, x), max(z + 1 - a, y - x)) for e, m, x, y in place if e >= d - 1e-12]
+                if not any(both > 0 and (m == name or 2 * both >= longer) for m, both, longer in shares):
+                    found.append(("run", int(of[a]), int(of[z]), name, d, n))
+                    place.append((d, name, a, z + 1))
             out += [(r, *f) for f in found]
         return out
 

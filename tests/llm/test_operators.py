@@ -70,6 +70,22 @@ def test_licences_are_those_of_brute_force(spark, make_docs, prose):
     assert not any(r.doc_id == len(texts) - 2 for r in rows)
 
 
+def test_licences_amid_prose_are_found(make_docs, prose):
+    texts = []
+    for i, (_, t) in enumerate(TEMPLATES):
+        first, second = prose(2 * i, 90), prose(2 * i + 1, 90)
+        texts += [f"{first}\n\n{t}\n\n{second}", f"{first}. {' '.join(t.split())} {second}"]
+        words = t.split()
+        texts.append("\n\n".join([first, *(" ".join(words[k : k + 40]) for k in range(0, len(words), 40)), second]))
+    rows = licences.licence_matches(make_docs(texts)).collect()
+    for i, t in enumerate(texts):
+        name, own = TEMPLATES[i // 3]
+        best = max((r.dice for r in rows if r.doc_id == i and r.licence == name), default=0)
+        assert best >= 0.8, (i, name)
+    row = licences.licence_matches(make_docs(["This small library is free. Released under the MIT License."])).collect()
+    assert [(r.unit, r.first_line, r.last_line, "MIT" in r.licence) for r in row] == [("run", 0, 0, True)]
+
+
 def test_licences_in_hard_cases(make_docs, hard):
     assert licences.licence_matches(make_docs(hard)).count() == 0
     assert licences.licence_matches(make_docs([])).count() == 0
