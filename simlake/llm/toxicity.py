@@ -3,7 +3,8 @@
 A sentence's score is a logistic function of the distinct hashed words, and word beginnings of four and five bytes, that it has; a
 document's is the noisy-or 1 - prod(1 - score). The weights are fitted to document labels by gradient steps on the likelihood of the noisy-or,
 over a bounded sample of labelled documents (`sample`, the one bound here), so that blame goes to the sentences that
-explain the label: first with an L1 penalty, which leaves few features, then those alone with the bias held low, since the
+explain the label. In scoring, what a sentence adds is its score beyond that of a sentence without weighted features, so that length alone adds
+nothing. The fit is first with an L1 penalty, which leaves few features, then those alone with the bias held low, since the
 noisy-or would otherwise add up the bias of a long text's many sentences. Scoring is one map-only pass of sparse numpy batches over
 whole texts. A document at or over `threshold` is toxic; its offending sentences are those whose own score is at least
 `sentence_threshold`, and its highest sentence in any case.
@@ -73,10 +74,9 @@ class Model:
         own, first = np.unique(pair // FEATURES, return_index=True)
         p = _sigmoid(np.add.reduceat(self.weights[pair % FEATURES], first) + self.bias) if len(pair) else np.zeros(0)
         row = np.searchsorted(c.offs, ends[own], "left") - 1
-        many = np.append(True, sent[1:] != sent[:-1])
         base = np.log1p(-_sigmoid(np.array(self.bias)))
-        none = np.bincount(c.rows()[many], minlength=n_rows) * base
-        np.add.at(none, row, np.log1p(-np.minimum(p, 1 - 1e-12)) - base)
+        none = np.zeros(n_rows)
+        np.add.at(none, row, np.minimum(np.log1p(-np.minimum(p, 1 - 1e-12)) - base, 0))
         return row, own, p, -np.expm1(none), ends
 
 
@@ -190,6 +190,8 @@ def offending_sentences(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
                 row, sent, p, doc, ends = m.value.scores(c)
                 for r in np.flatnonzero(doc >= m.value.threshold).tolist():
                     own = np.flatnonzero(row == r)
+                    if not len(own):
+                        continue
                     t = text[c.lo + r].as_py()
                     raw = t.encode()
                     same = len(raw) == c.offs[r + 1] - c.offs[r]

@@ -50,6 +50,14 @@ def test_toxicity_in_hard_cases(spark, make_docs, hard, labelled):
     assert toxicity.reject_toxic(make_docs([]), labelled[1]).count() == 0
 
 
+def test_toxicity_does_not_come_from_length(spark, make_docs, labelled):
+    docs, labels, _ = labelled
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(1000, "zzz qqq\n" * 20_000), (1001, docs.where("doc_id = 1").first().text.replace(".", "\n") * 4000)]
+    for own in (labels, labels.limit(0)):
+        assert not {r.doc_id for r in toxicity.offending_sentences(make_docs(rows), own).collect()} & {1000, 1001}
+        assert {1000, 1001} <= {r.doc_id for r in toxicity.reject_toxic(make_docs(rows), own).collect()}
+
+
 def dice(a, b):
     words = lambda t: regex.findall("[0-9a-z\u00c0-\u1fff]+", t.lower())
     x, y = ({*zip(w, w[1:])} for w in (words(a), words(b)))
