@@ -161,3 +161,15 @@ def test_lines_of_edited_characters_are_candidates(prose):
         found = {frozenset(p) for b in np.split(ids, np.cumsum(sizes)[:-1]) for p in itertools.combinations(b.tolist(), 2)}
         near = [frozenset((key(x), key(y))) for x, y in lines if edits_within(x, y, int(0.1 * max(len(x), len(y)) + 1e-9))]
         assert len(near) > 15 and sum(p in found for p in near) >= 0.9 * len(near), (words, share)
+
+
+def test_buckets_of_long_keys_are_those_of_brute_force():
+    r = np.random.default_rng(4)
+    for bits in (16, 24):
+        rec = np.zeros(4000, D._REC)
+        rec["key"] = r.integers(0, 40, 4000) * 3 + (r.integers(0, 16, 4000).astype(np.uint32) << np.uint32(bits))
+        rec["id"], rec["len"] = r.integers(0, 1 << 62, 4000), 50
+        ids, sizes = D.near_in_blocks(rec, D.SIMILARITY, D.CHECK_BITS)
+        got = {frozenset(p) for b in np.split(ids, np.cumsum(sizes)[:-1]) for p in itertools.combinations(b.tolist(), 2)}
+        want = {frozenset(p) for k in np.unique(rec["key"]) for p in itertools.combinations(rec["id"][rec["key"] == k].tolist(), 2)}
+        assert got == want, bits
