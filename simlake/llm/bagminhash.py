@@ -157,7 +157,6 @@ def multiset_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, thres
                     yield packed_batch(list(pack(rec["key"], rec, blocks)))
 
     text = with_text(docs, "text")
-    buckets = regroup(text.mapInArrow(sign, PACKED), _KEY, _buckets)
 
     def fetch(ids: DataFrame) -> DataFrame:
         some = ids.sparkSession.sparkContext.broadcast(Membership.of(ids, "id"))
@@ -188,7 +187,7 @@ def multiset_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, thres
 
         return both.mapInArrow(overlap, "a bigint, b bigint")
 
-    return verified_groups(buckets, fetch, holds)
+    return verified_groups(lambda: regroup(text.mapInArrow(sign, PACKED), _KEY, _buckets), fetch, holds)
 
 
 def overlap_of(x: np.ndarray, y: np.ndarray) -> float:

@@ -3,8 +3,9 @@
 Both near-duplicate operators end here. Things have 64-bit ids that stand for their content, so equal contents are one thing.
 Their bucket keys move between tasks as packed byte blocks, many records to a row. A bucket's members are candidates for each
 other. Verifying every pair of a hot bucket would cost the square of its size, so the connected groups are found in two rounds:
-members are held against their buckets' leaders; then, of each bucket that still spans several groups, the pairs across groups.
-A pair within one group needs no verdict. So the groups are those of all verified candidate pairs, and no bucket has a limit.
+members are held against their buckets' leaders; then, of each bucket that still spans several groups, the pairs across groups,
+where they pass an exact bound if there is one. A pair within one group needs no verdict. So the groups are those of all verified
+candidate pairs, and no bucket has a limit.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,50 +30,25 @@ def block_count(spark: SparkSession) -> int:
     return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def pack(keys: np.ndarray, records: np.ndarray, blocks: int, encode: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> Iterator[tuple[int, bytes]]:
+def pack(keys: np.ndarray, records: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
     """The records as one byte string per block of their keys."""
-    pid = (W.mix(keys) % W.U(blocks)).astype(np.int32)
+    pid = (W.mix(keys) % W.U(blocks)).astype(np.uint16 if blocks <= 1 << 16 else np.int32)  # short numbers sort by digits
     order = np.argsort(pid, kind="stable")
     pid, records = pid[order], records[order]
     at = np.flatnonzero(np.append(True, pid[1:] != pid[:-1])) if len(pid) else []
     for a, z in zip(at, np.append(at[1:], len(pid)) if len(pid) else []):
-        yield int(pid[a]), encode(records[a:z])
+        yield int(pid[a]), records[a:z].tobytes()
 
 
 def packed_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["pid", "blob"])
 
 
-def planes(records: np.ndarray) -> bytes:
-    """Records in order of their keys, field by field, keys as differences and integers of up to four bytes as planes of like bytes: what is regular compresses."""
-    records = records[np.argsort(records["key"], kind="stable")]
-    out = []
-    for name in records.dtype.names:
-        v = np.ascontiguousarray(records[name])
-        if name == "key":
-            v = np.diff(v, prepend=v.dtype.type(0))
-        out.append(np.ascontiguousarray(v.view(np.uint8).reshape(len(v), -1).T).tobytes() if v.itemsize <= 4 else v.tobytes())
-    return b"".join(out)
-
-
-def unplanes(blob, dtype: np.dtype) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8)
-    out = np.empty(len(raw) // dtype.itemsize, dtype)
-    at = 0
-    for name in dtype.names:
-        kind = dtype[name]
-        part = raw[at : at + len(out) * kind.itemsize]
-        at += len(part)
-        v = np.ascontiguousarray(part.reshape(kind.itemsize, -1).T).view(kind)[:, 0] if kind.itemsize <= 4 else part.view(kind)
-        out[name] = np.cumsum(v, dtype=kind) if name == "key" else v
-    return out
-
-
-def regroup(packed: DataFrame, dtype: np.dtype, fn: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], decode: Callable = np.frombuffer) -> DataFrame:
+def regroup(packed: DataFrame, dtype: np.dtype, fn: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """members array<bigint>: fn gets all records of some blocks at once and returns buckets of distinct ids, as ids and sizes."""
 
     def each(batches):
-        parts = [decode(x.as_buffer(), dtype) for b in batches for x in b.column(1)]
+        parts = [np.frombuffer(x.as_buffer(), dtype) for b in batches for x in b.column(1)]
         if parts:
             flat, sizes = fn(np.concatenate(parts))
             offs = np.append(0, np.cumsum(sizes))
@@ -120,46 +97,83 @@ class Membership:
         return ok
 
 
-def verified_groups(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], holds: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, root) of all ids in groups of two or more. fetch gives (id, thing) of ids (id); holds gives those (a, b) of pairs (a, b, x, y), y the thing of b, that are near."""
-    buckets = cut(buckets.distinct())
+def verified_groups(candidates: Callable[[], DataFrame], fetch: Callable[[DataFrame], DataFrame], holds: Callable[[DataFrame], DataFrame], bound: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(id, root) of all ids in groups of two or more. candidates makes the buckets (members); fetch gives (id, thing) of ids (id); holds gives those (a, b) of pairs (a, b, x, y), y the thing of b,
+    that are near. With `bound`, things have a binary sketch of one length, too, and bound(x, y) tells which rows of sketches may be those of near things."""
+    buckets = cut(candidates().groupBy("members").agg(F.count("*").alias("times")))
     things = cut(fetch(buckets.select(F.explode("members").alias("id")).distinct()))
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(things.select(F.col("id").alias("b"), F.col("thing").alias("y")), "b").join(things.select(F.col("id").alias("a"), F.col("thing").alias("x")), "a")
         return cut(holds(both.select("a", "b", "x", "y")))
 
-    star = cut(buckets.select(F.explode(F.slice("members", 2, F.size("members") - 1)).alias("b"), F.col("members")[0].alias("a")).select("a", "b").distinct())
-    # A member of many buckets has many leaders: first one each, then those that are not of its group yet.
-    one = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    star = buckets.select(F.explode(F.slice("members", 2, F.size("members") - 1)).alias("b"), F.col("members")[0].alias("a"), "times")
+    star = cut(star.groupBy("a", "b").agg(F.sum("times").alias("times")))
+    # A member of many buckets has many leaders: first the one of most of them, then those that are not of its group yet.
+    one = star.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
     edges = verify(one)
     groups = connected_components(edges)
-    ends = [groups.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
-    apart = star.join(one, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-    rest = cut(apart.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b"))
-    if not rest.isEmpty():
-        edges = cut(edges.union(verify(rest)))
-        groups = connected_components(edges)
 
-    numbered = buckets.select(F.xxhash64("members").alias("n"), F.explode("members").alias("id"), F.col("members")[0].alias("lead"))
-    spans = numbered.join(groups, "id", "left").select("n", "id", "lead", F.coalesce("root", "id").alias("root"))
-    several = spans.groupBy("n").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("id", "root")).alias("m"), F.min("lead").alias("lead")).where("lo != hi and size(m) > 2").select("lead", F.col("m.id").alias("ids"), F.col("m.root").alias("roots"))
+    numbered = buckets.select(F.xxhash64("members").alias("n"), F.explode("members").alias("id"))
+    spans = cut(numbered.join(groups, "id", "left").select("n", "id", F.coalesce("root", "id").alias("root")))
+    several = spans.groupBy("n").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("n")
+    spans = spans.join(several, "n", "left_semi")
+    if bound is None:
+        # First members with their leaders, which leaves fewer buckets that span groups.
+        ends = [groups.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+        apart = star.select("a", "b").join(one, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        rest = cut(apart.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b"))
+        if not rest.isEmpty():
+            edges = cut(edges.union(verify(rest)))
+            groups = connected_components(edges)
+            spans = spans.select("n", "id").join(groups, "id", "left").select("n", "id", F.coalesce("root", "id").alias("root"))
+        spans = spans.withColumn("sketch", F.lit(None).cast("binary"))
+        tried = star.select("a", "b")
+    else:
+        spans = spans.join(things.select("id", "sketch"), "id")
+        tried = one
+    several = spans.groupBy("n").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("id", "root", "sketch")).alias("m")).where("lo != hi").select(F.col("m.id").alias("ids"), F.col("m.root").alias("roots"), F.col("m.sketch").alias("sketches"))
 
     def across(batches):
         for b in batches:
-            for lead, ids, rs in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                ids, rs = np.asarray(ids.values), np.asarray(rs.values)
-                order = np.argsort(rs, kind="stable")
-                ids, rs = ids[order], rs[order]
-                ids, rs = ids[ids != lead], rs[ids != lead]
-                if not len(ids):
-                    continue
-                end = np.searchsorted(rs, rs, "right")
-                for i in np.flatnonzero(end < len(ids)).tolist():
-                    x, y = np.full(len(ids) - end[i], ids[i]), ids[end[i] :]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    cross = cut(several.mapInArrow(across, "a bigint, b bigint").distinct())
+            if not b.num_rows:
+                continue
+            ids, roots, kept = (b.column(k) for k in range(3))
+            bucket = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(ids)))
+            ids, roots = np.asarray(ids.flatten()), np.asarray(roots.flatten())
+            order = np.lexsort((roots, bucket))
+            ids, roots, bucket = ids[order], roots[order], bucket[order]
+            if bound is not None:
+                raw = np.frombuffer(b"".join(kept.flatten().to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+            # A member's partners are those of its bucket's later groups; some pairs at a time.
+            new = np.append(np.flatnonzero((bucket[1:] != bucket[:-1]) | (roots[1:] != roots[:-1])) + 1, len(ids))
+            end = new[np.searchsorted(new, np.arange(len(ids)), "right")]
+            n = np.searchsorted(bucket, bucket, "right") - end
+            reach = np.cumsum(n)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            at = 0
+            while at < len(ids):
+                to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + 100_000, "right")))
+                w = n[at:to]
+                i = np.repeat(np.arange(at, to), w)
+                j = np.arange(len(i)) + np.repeat(end[at:to] - np.cumsum(w) + w, w)
+                at = to
+                if bound is not None and len(i):
+                    ok = bound(raw[i], raw[j])
+                    i, j = i[ok], j[ok]
+                if len(i):
+                    found.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
+                if sum(len(f[0]) for f in found) > 1_000_000:
+                    yield pairs_of(found)
+                    found = []
+            if found:
+                yield pairs_of(found)
+
+    def pairs_of(found):
+        pair = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
+
+    cross = cut(several.mapInArrow(across, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti"))
     if cross.isEmpty():
         return groups
     return connected_components(edges.union(verify(cross)))

@@ -12,6 +12,10 @@ from simlake.llm import line_dedup as D
 from simlake.llm.line_dedup import drop_duplicate_lines, duplicate_lines, edits_within
 
 
+def points(text):
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
 def bags(texts):
     out = {}
     for c in W.chunks(pa.array(texts, pa.string())):
@@ -55,18 +59,9 @@ def test_components_by_stars_and_in_one_task(spark):
 def test_edits_within_is_levenshtein():
     r = random.Random(1)
 
-    def distance(a, b):
-        p = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            q = [i]
-            for j, y in enumerate(b, 1):
-                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
-            p = q
-        return p[-1]
-
     for _ in range(120):
         a, b = ("".join(r.choice("abé") for _ in range(r.randint(0, 12))) for _ in range(2))
-        assert [edits_within(a, b, k) for k in range(14)] == [distance(a, b) <= k for k in range(14)]
+        assert [edits_within(points(a), points(b), k) for k in range(14)] == [distance(a, b) <= k for k in range(14)]
 
 
 @pytest.fixture(scope="module")
@@ -157,19 +152,50 @@ def test_lines_of_edited_characters_are_candidates(prose):
         lines = [(x, edited(x, max(1, int(share * len(x))))) for x in lines if len(x) > 20]
         key = lambda t: int(D.Lines(next(W.chunks(pa.array([t])))).key[0])
         rec = np.concatenate([D.sketches(c, D.SIMILARITY, D.BLOCKS, D.BLOCK_BITS) for c in W.chunks(pa.array([y for x in lines for y in x]))])
-        ids, sizes = D.near_in_blocks(rec, D.SIMILARITY, D.CHECK_BITS)
+        ids, sizes = D.near_in_blocks(rec, D.SIMILARITY)
         found = {frozenset(p) for b in np.split(ids, np.cumsum(sizes)[:-1]) for p in itertools.combinations(b.tolist(), 2)}
-        near = [frozenset((key(x), key(y))) for x, y in lines if edits_within(x, y, int(0.1 * max(len(x), len(y)) + 1e-9))]
+        near = [frozenset((key(x), key(y))) for x, y in lines if edits_within(points(x), points(y), int(0.1 * max(len(x), len(y)) + 1e-9))]
         assert len(near) > 15 and sum(p in found for p in near) >= 0.9 * len(near), (words, share)
 
 
+def distance(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
+
+def test_bands_and_bounds_agree_with_levenshtein(prose):
+    r = random.Random(6)
+    for sim in (0.9, 0.5, 1.0):
+        xs, ys = [], []
+        for i in range(500):
+            a = "".join(r.choice("abé ") for _ in range(r.randint(0, 60))) if i % 3 else prose(7000 + i, r.randint(1, 20))
+            b = list(a)
+            for _ in range(r.randint(0, 9)):
+                p = r.randint(0, len(b))
+                b[p : p + r.randint(0, 1)] = r.choice(["", "x", "漢", "😀"])
+            xs.append(a)
+            ys.append("".join(b) if r.random() < 0.9 else a[::-1])
+        want = [distance(a, b) <= int((1 - sim) * max(len(a), len(b)) + 1e-9) for a, b in zip(xs, ys)]
+        for long in (5, 2000):
+            assert D.within(pa.array(xs), pa.array(ys), sim, long).tolist() == want
+        edge = np.append(0, np.cumsum([len(t.encode()) + 1 for t in [*xs, *ys]]))
+        sketch = D.bound_sketches(np.frombuffer("".join(t + " " for t in [*xs, *ys]).encode(), np.uint8), edge)
+        assert D.may_be_near(sketch[:500], sketch[500:], sim)[np.array(want)].all()
+        assert all(D.edits_at_most(points(a), points(b)) >= distance(a, b) for a, b in zip(xs, ys))
+
+
 def test_buckets_of_long_keys_are_those_of_brute_force():
     r = np.random.default_rng(4)
     for bits in (16, 24):
         rec = np.zeros(4000, D._REC)
         rec["key"] = r.integers(0, 40, 4000) * 3 + (r.integers(0, 16, 4000).astype(np.uint32) << np.uint32(bits))
         rec["id"], rec["len"] = r.integers(0, 1 << 62, 4000), 50
-        ids, sizes = D.near_in_blocks(rec, D.SIMILARITY, D.CHECK_BITS)
+        ids, sizes = D.near_in_blocks(rec, D.SIMILARITY)
         got = {frozenset(p) for b in np.split(ids, np.cumsum(sizes)[:-1]) for p in itertools.combinations(b.tolist(), 2)}
         want = {frozenset(p) for k in np.unique(rec["key"]) for p in itertools.combinations(rec["id"][rec["key"] == k].tolist(), 2)}
         assert got == want, bits
