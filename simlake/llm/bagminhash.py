@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import npwords as W
 from .neargroups import PACKED, Membership, block_count, pack, packed_batch, regroup, verified_groups
-from .tables import cut, with_text
+from .tables import cut, fresh, with_text
 
 U = W.U
 #: Parameters of production.
@@ -237,7 +237,7 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     own, many = _members(docs, multiset_groups(docs, **how))
     keys = cut(own.join(many.select("root"), "root", "left_semi").select("id", "root").distinct())
     some = docs.sparkSession.sparkContext.broadcast(Membership.of(keys, "id"))
-    name, root, rank = "__multiset_id", "__multiset_root", "__multiset_rank"
+    name, root, rank = (fresh(docs, x) for x in ("multiset_id", "multiset_root", "multiset_rank"))
     every = _with_id(docs, name, some)
     rest = every.where(F.col(name).isNull())
     hit = every.where(F.col(name).isNotNull()).join(keys.select(F.col("id").alias(name), F.col("root").alias(root)), name, "left")

@@ -10,8 +10,8 @@ item that contains it. Removed spans with at most `bridge` words between them ar
 
 Defined cases: null, empty and word-less texts have no spans and stay; null or word-less items match nothing; equal items count
 as one (the smallest item_id is named); repeated documents are each treated; an empty benchmark leaves all as it was; a
-document of which nothing but white space is left goes. A benchmark of more words than broadcast_words is worked off in slices
-of items, one map pass per slice, with the same rule in each.
+document of which no letter or digit is left goes. A benchmark of more words than broadcast_words is worked off in slices of items, one
+map step per slice, which only note their matches; what is maximal among all of them is then decided as if there were one automaton.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import npwords as W
-from .tables import same_columns, with_text
+from .tables import fresh, replace_text, with_text
 
 #: Parameters of production.
 MAX_WORDS, MIN_WORDS, MAX_COVERAGE, BRIDGE, BROADCAST_WORDS = 13, 8, 0.5, 2, 4_000_000
@@ -122,8 +123,8 @@ class Detector:
         grams = [W.ngrams(h, np.zeros(len(h), np.int8), self.gram)[0] for _, h in each if len(h) >= self.gram]
         self.grams = W.Table(g := np.unique(np.concatenate(grams)), np.zeros(len(g))) if grams else None
 
-    def spans(self, c: W.Chunk) -> dict[int, list[tuple[int, int, int, int]]]:
-        """Of each row of the chunk with any: (first word, end word, item, its length), in order and apart."""
+    def matches(self, c: W.Chunk) -> dict[int, list[tuple[int, int, int, int]]]:
+        """Of each row of the chunk with any: the maximal matches that may count (first word, end word, item, its length)."""
         if self.grams is None or not len(c.h):
             return {}
         known = self.ids.get(c.h)
@@ -147,17 +148,24 @@ class Detector:
             r = int(row[a])
             base = a - int(c.word_at[r])
             for s, e, item, size in self.auto.matches(known[a:b].tolist()):
-                if e - s >= self.max_words or (e - s >= self.min_words and e - s >= self.max_coverage * size):
+                if e - s >= self.least:
                     out.setdefault(r, []).append((base + s, base + e, item, size))
-        return {r: self._joined(x) for r, x in out.items()}
+        return out
 
-    def _joined(self, found: list) -> list:
+    def spans(self, found: list) -> list[tuple[int, int, int, int]]:
+        """Of one text's matches with all slices: those that no other contains and that the limits remove, joined, in order and apart."""
         out: list = []
-        for s, e, item, size in sorted(found):
+        reach = -1
+        for s, e, size, item in sorted(((s, e, size, item) for s, e, item, size in found), key=lambda x: (x[0], -x[1], x[2], x[3])):
+            if e <= reach:
+                continue
+            reach = e
+            if e - s < self.max_words and (e - s < self.min_words or e - s < self.max_coverage * size):
+                continue
             if out and s - out[-1][1] <= self.bridge:
                 p = out[-1]
                 best = (item, size) if e - s > p[1] - p[0] else p[2:]
-                out[-1] = (p[0], max(p[1], e), *best)
+                out[-1] = (p[0], e, *best)
             else:
                 out.append((s, e, item, size))
         return out
@@ -168,17 +176,10 @@ def _char(data: np.ndarray, lo: int, at: int) -> int:
     return int(((data[lo:at] & 0xC0) != 0x80).sum())
 
 
-def _places(text: str, c: W.Chunk, r: int, spans: list) -> list[tuple[int, int]]:
-    """Spans of words as spans of the original text's characters. Lower-casing may change a text's length; words are found again then."""
+def _places(c: W.Chunk, r: int, spans: list) -> list[tuple[int, int]]:
+    """Spans of words as spans of the original text's characters, of which each has just one in lower case."""
     w, lo = int(c.word_at[r]), int(c.offs[r])
-    data, s, e = c.data, c.s, c.e
-    if _char(data, lo, int(c.offs[r + 1])) != len(text):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        s2, e2 = W.word_spans(raw, np.array([0, len(raw)]))
-        if len(s2) != c.word_at[r + 1] - c.word_at[r]:
-            return [(0, len(text))]  # letters that fall apart in lower case: the whole text counts as the span
-        data, s, e, w, lo = raw, s2, e2, 0, 0
-    return [(_char(data, lo, int(s[w + a])), _char(data, lo, int(e[w + b - 1]))) for a, b, *_ in spans]
+    return [(_char(c.data, lo, int(c.s[w + a])), _char(c.data, lo, int(c.e[w + b - 1]))) for a, b, *_ in spans]
 
 
 def _slices(benchmark: DataFrame, broadcast_words: int) -> list[list[tuple[int, str]]]:
@@ -188,64 +189,81 @@ def _slices(benchmark: DataFrame, broadcast_words: int) -> list[list[tuple[int,
     parts = int(total // (6 * broadcast_words)) + 1
     if parts == 1:
         return [[(-1 if r[0] is None else int(r[0]), r[1]) for r in items.collect()]]
-    own = items.withColumn("_part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
-    return [[(-1 if r[0] is None else int(r[0]), r[1]) for r in own.where(F.col("_part") == p).drop("_part").collect()] for p in range(parts)]
-
-
-def _detectors(docs: DataFrame, benchmark: DataFrame, max_words, min_words, max_coverage, bridge, broadcast_words):
-    for items in _slices(benchmark, broadcast_words):
-        yield docs.sparkSession.sparkContext.broadcast(Detector(items, max_words, min_words, max_coverage, bridge))
+    own: list[list[tuple[int, str]]] = [[] for _ in range(parts)]
+    for r in items.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int")).toLocalIterator():
+        own[r[2]].append((-1 if r[0] is None else int(r[0]), r[1]))
+    return own
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, finish, schema, max_words, min_words, max_coverage, bridge, broadcast_words) -> DataFrame:
+    """finish(batch of docs, texts, [(row, words of its chunk, row in it, spans)]) in place of each batch. The last slice's step
+    decides, on what the steps before it have noted in a column of their own."""
+    slices = _slices(benchmark, broadcast_words)
+    noted = fresh(docs, "matches")
+    kept = T.StructType([*docs.schema.fields, T.StructField(noted, T.BinaryType())])
+    at = docs.columns.index("text")
+    for k, items in enumerate(slices):
+        shared = docs.sparkSession.sparkContext.broadcast(Detector(items, max_words, min_words, max_coverage, bridge))
+        first, last = k == 0, k == len(slices) - 1
+
+        def each(batches, shared=shared, first=first, last=last):
+            for b in batches:
+                text = W.texts(b.column(at))
+                before: list[bytes | None] = [None] * b.num_rows if first else b.column(b.num_columns - 1).to_pylist()
+                own = b if first else pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1])
+                rows = []
+                for c in W.chunks(text):
+                    new = shared.value.matches(c)
+                    for r in range(c.hi - c.lo) if not first else new:
+                        found = [tuple(x) for x in np.frombuffer(before[c.lo + r] or b"", np.int64).reshape(-1, 4).tolist()] + new.get(r, [])
+                        if not found:
+                            continue
+                        if not last:
+                            before[c.lo + r] = np.array(found, np.int64).tobytes()
+                        elif spans := shared.value.spans(found):
+                            rows.append((c.lo + r, spans, _places(c, r, spans)))
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(before, pa.binary())], [*own.schema.names, noted])
+                elif (out := finish(own, text, rows)) is not None:
+                    yield out
+
+        docs = docs.mapInArrow(each, schema if last else kept)
+    return docs
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS, max_coverage: float = MAX_COVERAGE, bridge: int = BRIDGE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """A row for each span to be removed: its document, number, place in characters, words, the item matched and how much of it."""
-    parts = []
-    for d in _detectors(docs, benchmark, max_words, min_words, max_coverage, bridge, broadcast_words):
 
-        def each(batches, d=d):
-            for b in batches:
-                ids, text = b.column(0).to_pylist(), W.texts(b.column(1))
-                rows = []
-                for c in W.chunks(text):
-                    for r, spans in d.value.spans(c).items():
-                        t = text[c.lo + r].as_py()
-                        for k, ((a, z), (s, e, item, size)) in enumerate(zip(_places(t, c, r, spans), spans)):
-                            rows.append((ids[c.lo + r], k, a, z, e - s, None if item < 0 else item, min(1.0, (e - s) / size), t[a:z]))
-                if rows:
-                    cols = list(zip(*rows))
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], ["doc_id", "span", "start", "end", "n_words", "item_id", "coverage", "passage"])
-
-        parts.append(with_text(docs, "doc_id", "text").mapInArrow(each, SPANS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    def finish(b, text, found):
+        ids, rows = b.column(0).to_pylist(), []
+        for i, spans, places in found:
+            t = text[i].as_py()
+            for k, ((a, z), (s, e, item, size)) in enumerate(zip(places, spans)):
+                rows.append((ids[i], k, a, z, e - s, None if item < 0 else item, min(1.0, (e - s) / size), t[a:z]))
+        if not rows:
+            return None
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], ["doc_id", "span", "start", "end", "n_words", "item_id", "coverage", "passage"])
+
+    return _found(with_text(docs, "doc_id", "text"), benchmark, finish, SPANS, max_words, min_words, max_coverage, bridge, broadcast_words)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS, max_coverage: float = MAX_COVERAGE, bridge: int = BRIDGE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """docs without the spans; n_chars follows the text. A text that becomes blank by this goes; others keep their rows."""
-    for d in _detectors(docs, benchmark, max_words, min_words, max_coverage, bridge, broadcast_words):
-
-        def each(b, d=d):
-            from .tables import replace_text
-
-            at = b.schema.names.index("text")
-            text = W.texts(b.column(at))
-            new: dict[int, str] = {}
-            for c in W.chunks(text):
-                for r, spans in d.value.spans(c).items():
-                    t, parts, last = text[c.lo + r].as_py(), [], 0
-                    for a, z in _places(t, c, r, spans):
-                        parts.append(t[last:a])
-                        last = z
-                    new[c.lo + r] = "".join([*parts, t[last:]])
-            if not new:
-                return b
-            old = b.column(at).to_pylist()
-            gone = [i in new and not any(ch.isalnum() for ch in new[i]) for i in range(len(old))]
-            b = replace_text(b, [new.get(i, t) for i, t in enumerate(old)])
-            return b.filter(pa.array([not g for g in gone]))
-
-        docs = same_columns(docs, each)
-    return docs
+    """docs without the spans; n_chars follows the text. A text that is left without a letter or digit by this goes; others keep their rows."""
+
+    def finish(b, text, found):
+        if not found:
+            return b
+        new: dict[int, str] = {}
+        for i, _, places in found:
+            t, parts, last = text[i].as_py(), [], 0
+            for a, z in places:
+                parts.append(t[last:a])
+                last = z
+            new[i] = "".join([*parts, t[last:]])
+        old = b.column(b.schema.names.index("text")).to_pylist()
+        gone = [i in new and not any(ch.isalnum() for ch in new[i]) for i in range(len(old))]
+        b = replace_text(b, [new.get(i, t) for i, t in enumerate(old)])
+        return b.filter(pa.array([not g for g in gone]))
+
+    return _found(docs, benchmark, finish, docs.schema, max_words, min_words, max_coverage, bridge, broadcast_words)

@@ -118,18 +118,21 @@ class File:
         b, at = self.b, 0
         while at < len(b):
             ident, s, e = element(b, at, len(b))
-            short = e > len(b)
-            e = len(b) if e < 0 or short else e
+            short, open_end = e > len(b), e < 0
+            e = len(b) if open_end or short else e
             if ident == SEGMENT:
-                self._segment(s, e)
+                e = self._segment(s, e, open_end)
             if short:
                 raise Fault(f"element cut short at byte {at}")
             at = e
 
-    def _segment(self, a: int, z: int) -> None:
-        at = a
+    def _segment(self, a: int, z: int, open_end: bool) -> int:
+        """Reads a segment and returns where it ends: one of unknown size where the next file begins."""
+        at, whole = a, not open_end
         while at < z:
             ident, s, e = element(self.b, at, z)
+            if not whole and ident in TOP:
+                return at
             short, open_end = e > z, e < 0
             e = z if short or open_end else e
             if ident == CLUSTER:
@@ -151,6 +154,7 @@ class File:
             if short:
                 raise Fault(f"element cut short at byte {at}")
             at = e
+        return at
 
     def _track(self, a: int, z: int) -> None:
         t: dict = {}

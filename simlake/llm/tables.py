@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that all executors share; where it is unset, as in tests, one of our own is set."""
+    """spark.checkpoint.dir, the folder that all executors share; where it is unset, as in tests on one machine, one of our own is set."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not given:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("on a cluster spark.checkpoint.dir names the folder that all executors share")
         given = tempfile.mkdtemp(prefix="simlake-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(given)
@@ -34,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema) -> DataFrame:
     """mapInArrow of a function of one batch, which gives a batch, several or none."""
 

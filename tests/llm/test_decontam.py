@@ -44,11 +44,27 @@ def test_spans_and_removal(spark, make_docs, prose):
     assert decontaminate(docs, bench(spark, items)).columns == docs.columns
 
 
-def test_slices_of_a_large_benchmark_agree(spark, make_docs, prose):
+def test_slices_of_a_large_benchmark_agree(spark, make_docs, prose, untouched):
     items = [(i, prose(i, 20)) for i in range(12)]
     docs = make_docs([f"{prose(100 + i, 15)} {prose(i % 14, 20)}" for i in range(30)])
-    key = lambda df: sorted((r.doc_id, r.start, r.end) for r in df.collect())
+    key = lambda df: sorted((r.doc_id, r.span, r.start, r.end, r.item_id, r.passage) for r in df.collect())
     assert key(contaminated_spans(docs, bench(spark, items))) == key(contaminated_spans(docs, bench(spark, items), broadcast_words=60))
+    # Items that adjoin or overlap, of which some hold parts of others, in different slices.
+    w = [prose(40 + i, 20) for i in range(6)]
+    items = [(i, t) for i, t in enumerate([*w, " ".join(w[0].split()[:9] + w[1].split()[:14]), " ".join(w[2].split()[4:13]), w[3] + " " + w[4]])]
+    texts = [f"{prose(90 + a, 5)} {w[a]} and {w[b]} {prose(80 + b, 4)}" for a in range(6) for b in range(6)] + [f"start {w[0]} {w[1]}", " ".join(w[2].split()[3:14]), f"x {w[3]} {w[4]} {w[5]}"]
+    docs = make_docs(texts)
+    for words in (30, 60, 90):
+        assert key(contaminated_spans(docs, bench(spark, items))) == key(contaminated_spans(docs, bench(spark, items), broadcast_words=words))
+        left = decontaminate(docs, bench(spark, items), broadcast_words=words)
+        assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted((r.doc_id, r.text) for r in decontaminate(docs, bench(spark, items)).collect())
+        assert untouched(left) and left.columns == docs.columns
+
+
+def test_letters_that_change_in_lower_case(spark, make_docs, prose):
+    item = prose(7, 20)
+    text = f"\u0130stanbul 5 \u212a \u1e9e before\n{item.upper()}\nafter \u2126 it."
+    assert decontaminate(make_docs([text]), bench(spark, [(1, item)])).first().text == text.replace(item.upper().rstrip("."), "")
 
 
 def test_hard_cases(spark, make_docs, hard):

@@ -93,12 +93,12 @@ def test_near_duplicates_are_those_of_brute_force(spark, make_docs, copies):
     assert kept == set(range(len(copies))) - {i for i, r in got.items() if not r.is_kept}
 
 
-def test_near_duplicates_in_hard_cases(spark, make_docs, hard):
+def test_near_duplicates_in_hard_cases(spark, make_docs, hard, untouched):
     df = make_docs(hard)
     got = sorted((r.doc_id, r.group_id, r.n_docs) for r in B.near_duplicates(df).collect())
     assert got == [(4, 4, 3), (4, 4, 3), (5, 4, 3)]
     left = B.drop_near_duplicates(df)
-    assert left.columns == df.columns and left.count() == len(hard) - 2
+    assert left.columns == df.columns and left.count() == len(hard) - 2 and untouched(left)
     same = make_docs([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "e f g h"), (None, "e f g h")])
     assert sorted((r.doc_id is None, r.doc_id) for r in B.drop_near_duplicates(same).collect()) == [(False, 1), (True, None)]
     for empty in (make_docs([]), make_docs([None, ""])):
@@ -126,11 +126,11 @@ def test_lines_are_those_of_brute_force(spark, make_docs, prose):
         assert left[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in got)
 
 
-def test_lines_in_hard_cases(spark, make_docs, hard):
+def test_lines_in_hard_cases(spark, make_docs, hard, untouched):
     df = make_docs(hard)
     left = drop_duplicate_lines(df)
     got = {(x.doc_id, x.text) for x in left.collect()}
-    assert left.columns == df.columns
+    assert left.columns == df.columns and untouched(left)
     assert (None, "\n\n") in got and (2, " ") in got and (0, None) in got and (5, "?!") in got
     assert sum(t == "word" for _, t in got) == 1
     assert duplicate_lines(make_docs([])).count() == 0 and drop_duplicate_lines(make_docs([])).count() == 0

@@ -198,6 +198,18 @@ def test_matroska_round_trip():
     assert len({x[7] for x in f.frames} | {"none"}) >= 1
 
 
+def test_matroska_files_in_a_row_and_bytes_by_hand():
+    # Written out by hand: header, segment and cluster of unknown size, a track, a block with two frames of Xiph lacing.
+    track = bytes.fromhex("1654ae6b 8f ae8d d78101 838111 8685535f585858")
+    cluster = bytes.fromhex("1f43b675 01ffffffffffffff e7820102 a38b 81 0005 02 01 02") + b"hiyou"
+    one = bytes.fromhex("1a45dfa380 18538067 01ffffffffffffff") + track + cluster
+    f = matroska.File(one)
+    assert f.error is None and f.tracks == {1: (17, "S_XXX", None)}
+    assert [one[x[8] : x[9]] for x in f.frames] == [b"hi", b"you"] and f.frames[0][4] == (0x102 + 5) * 1_000_000
+    two = matroska.File(one + one)
+    assert two.error is None and [(one + one)[x[8] : x[9]] for x in two.frames] == [b"hi", b"you"] * 2
+
+
 def test_matroska_never_crashes(spark):
     r = random.Random(4)
     good = matroska.mux([(1, 10 * k, [b"abc", b"de"]) for k in range(9)], {1: (17, "S", None)})
@@ -246,3 +258,38 @@ def test_softmaxes_are_of_all_words(make_docs):
     m = maxent.Model(np.sort(np.random.default_rng(0).integers(0, 1 << 62, 15).astype(W.U)), np.random.default_rng(1).normal(size=(32, 4)).astype(np.float32), np.random.default_rng(2).normal(size=(68, 4)).astype(np.float32), 4)
     f = np.repeat(m.features(np.array([3, 5, 1]), np.zeros(3, int))[:, 2:], 16, axis=1)
     assert abs(np.exp(m.log_probability(np.arange(16), f)).sum() - 1) < 1e-5
+
+
+def test_scores_are_those_of_a_model_written_out(make_docs, monkeypatch):
+    """Each token's probability from the weights that its features name, one word and one sum at a time."""
+    import math
+
+    texts = ["a b a c b a d e", "b b a", "zz a yy b", "", "a"] * 6
+    docs = make_docs(texts)
+    how = {"vocabulary": 8, "classes": 2, "class_rows": 64, "word_rows": 64, "batch": 32}
+    m = maxent.train(docs, **how)
+    monkeypatch.setattr(maxent, "train", lambda docs, **_: m)
+    got = {x.doc_id: x for x in maxent.score(docs).collect()}
+    words = {int(h): i for i, h in enumerate(m.words)}
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return x ^ x >> 31
+
+    def soft(z, k):
+        return z[k] - max(z) - math.log(sum(math.exp(v - max(z)) for v in z))
+
+    for i, t in enumerate(texts):
+        ids = [words.get(int(c.h[k]), 7) for c in W.chunks(pa.array([t])) for k in range(len(c.h))]
+        total = 0.0
+        for k, w in enumerate(ids):
+            one, two = (ids[k - 1] if k else 8), (ids[k - 2] if k > 1 else 8)
+            f = [mix(one + (1 << 40)), mix(one + (two << 20) + (1 << 41)), mix(two + (1 << 42))]
+            klass, place = divmod(w, 4)
+            za = [sum(float(m.a[r][j]) for r in [0, *(1 + x % 63 for x in f)]) for j in range(2)]
+            rows = [klass, *(2 + mix((x + klass * 0x9E3779B97F4A7C15) & mask) % 64 for x in f)]
+            zb = [sum(float(m.b[r][j]) for r in rows) for j in range(4)]
+            total += soft(za, klass) + soft(zb, place) - (math.log(max(1, m.types - len(m.words))) if w == 7 else 0)
+        assert got[i].n_tokens == len(ids) and (not ids or abs(got[i].log_probability - total) < 2e-3), t
