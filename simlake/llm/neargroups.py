@@ -153,7 +153,7 @@ def verified_groups(candidates: Callable[[], DataFrame], fetch: Callable[[DataFr
             found: list[tuple[np.ndarray, np.ndarray]] = []
             at = 0
             while at < len(ids):
-                to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + 100_000, "right")))
+                to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + 25_000, "right")))
                 w = n[at:to]
                 i = np.repeat(np.arange(at, to), w)
                 j = np.arange(len(i)) + np.repeat(end[at:to] - np.cumsum(w) + w, w)
