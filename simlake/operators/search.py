@@ -108,7 +108,7 @@ def compare(pairs: DataFrame, store: DataFrame, p: SearchParams, graphs: bool =
     df = pairs.select("left", "right").join(side("left"), "left").join(side("right"), "right")
     toks = lambda s: F.array_distinct(text.tokens(F.col(f"code_{s}"), p.tokenizer))
     df = df.withColumns({"t_l": toks("left"), "t_r": toks("right"), "jaccard": jaccard(F.col("sig_left"), F.col("sig_right")), "edit_ratio": edit.edit_ratio("code_left", "code_right")})
-    out = [F.col("left"), F.col("right"), F.col("jaccard"), F.col("edit_ratio"), edit.hybrid(F.col("jaccard"), F.col("edit_ratio"), 0.4).alias("score"), F.size("t_l").alias("tokens_left"), F.size("t_r").alias("tokens_right"), F.size(F.array_intersect("t_l", "t_r")).alias("shared_tokens")]
+    out = [F.col("left"), F.col("right"), F.col("jaccard"), F.col("edit_ratio"), edit.hybrid(F.col("jaccard"), F.col("edit_ratio"), p.jaccard_weight).alias("score"), F.size("t_l").alias("tokens_left"), F.size("t_r").alias("tokens_right"), F.size(F.array_intersect("t_l", "t_r")).alias("shared_tokens")]
     if graphs:
         df = df.withColumns({"g_l": cfg.cfg_extract("code_left"), "g_r": cfg.cfg_extract("code_right")})
         out.append(cfg.cfg_similarity(F.col("g_l"), F.col("g_r")).alias("cfg_similarity"))

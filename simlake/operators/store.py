@@ -86,17 +86,20 @@ def _outcome(store: DataFrame, request: DataFrame, value: str) -> DataFrame:
 
 
 def name_add(store: DataFrame, request: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(store, outcomes) of (checksum, name) requests, one per snippet: missing, duplicate or added."""
-    out = _outcome(store, request, "name").select("checksum", "name", F.when(F.col("names").isNull(), "missing").when(F.array_contains("names", F.col("name")), "duplicate").otherwise("added").alias("status"))
-    ok = out.where("status = 'added'").select("checksum", "name")
-    return store.join(ok, "checksum", "left").withColumn("names", F.when(F.col("name").isNull(), F.col("names")).otherwise(F.concat("names", F.array("name")))).drop("name"), out
+    """(store, outcomes) of (checksum, name) requests: missing, duplicate or added. Several for one snippet are added in order of their names; equal ones count once."""
+    out = _outcome(store, request.select("checksum", "name").distinct(), "name").select("checksum", "name", F.when(F.col("names").isNull(), "missing").when(F.array_contains("names", F.col("name")), "duplicate").otherwise("added").alias("status"))
+    more = out.where("status = 'added'").groupBy("checksum").agg(F.sort_array(F.collect_set("name")).alias("more"))
+    return store.join(more, "checksum", "left").withColumn("names", F.when(F.col("more").isNull(), F.col("names")).otherwise(F.concat("names", "more"))).drop("more"), out
 
 
 def name_remove(store: DataFrame, request: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As name_add: missing, unknown, last (a snippet keeps one name) or removed."""
-    out = _outcome(store, request, "name").select("checksum", "name", F.when(F.col("names").isNull(), "missing").when(~F.array_contains("names", F.col("name")), "unknown").when(F.size("names") < 2, "last").otherwise("removed").alias("status"))
-    ok = out.where("status = 'removed'").select("checksum", "name")
-    return store.join(ok, "checksum", "left").withColumn("names", F.when(F.col("name").isNull(), F.col("names")).otherwise(F.array_remove("names", F.coalesce("name", F.lit(""))))).drop("name"), out
+    """As name_add: missing, unknown, last (a snippet keeps one name: of requests for all of them, that for the last in order) or removed."""
+    own = _outcome(store, request.select("checksum", "name").distinct(), "name").withColumn("known", F.coalesce(F.array_contains("names", F.col("name")), F.lit(False)))
+    k = F.row_number().over(Window.partitionBy("checksum", "known").orderBy("name"))
+    status = F.when(F.col("names").isNull(), "missing").when(~F.col("known"), "unknown").when(k >= F.size("names"), "last").otherwise("removed")
+    out = own.select("checksum", "name", status.alias("status"))
+    less = out.where("status = 'removed'").groupBy("checksum").agg(F.collect_set("name").alias("less"))
+    return store.join(less, "checksum", "left").withColumn("names", F.when(F.col("less").isNull(), F.col("names")).otherwise(F.filter("names", lambda x: ~F.array_contains("less", x)))).drop("less"), out
 
 
 def tag_add(store: DataFrame, request: DataFrame) -> DataFrame:
@@ -122,13 +125,13 @@ def collection_delete(store: DataFrame, collections: DataFrame, name: str) -> tu
 
 
 def collection_add(store: DataFrame, collections: DataFrame, request: DataFrame) -> DataFrame:
-    """(checksum, name) requests of which both exist take effect."""
-    ok = request.join(collections.select("name"), "name", "left_semi").select("checksum", F.col("name").alias("put"))
+    """(checksum, name) requests of which both exist take effect; of several for one snippet, that of the greatest name."""
+    ok = request.join(collections.select("name"), "name", "left_semi").groupBy("checksum").agg(F.max("name").alias("put"))
     return store.join(ok, "checksum", "left").withColumn("collection", F.coalesce("put", "collection")).drop("put")
 
 
 def collection_remove(store: DataFrame, checksums: DataFrame) -> DataFrame:
-    gone = checksums.select("checksum", F.lit(True).alias("gone"))
+    gone = checksums.select("checksum").distinct().withColumn("gone", F.lit(True))
     return store.join(gone, "checksum", "left").withColumn("collection", F.when(F.col("gone"), None).otherwise(F.col("collection"))).drop("gone")
 
 
@@ -212,9 +215,9 @@ def sample(store: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return store.orderBy(F.md5(F.concat("checksum", F.lit(f"/{seed}")).cast("binary")), "checksum").limit(n)
 
 
-def average_similarity(store: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
-    """(avg_similarity, n_pairs) of all pairs of a sample; 1.0 where there is no pair, 0.0 in an empty store."""
-    s = sample(store.where("sig is not null"), n, seed).select("checksum", "sig")
+def average_similarity(store: DataFrame, p: SearchParams, n: int = 100, seed: int = 0) -> DataFrame:
+    """(avg_similarity, n_pairs) of all pairs of a sample; 1.0 where there is no pair, 0.0 in an empty store. Signatures of another length are left out."""
+    s = sample(store.where(F.size("sig") == p.num_perm), n, seed).select("checksum", "sig")
     a, b = s.select(F.col("checksum").alias("a"), F.col("sig").alias("x")), s.select(F.col("checksum").alias("b"), F.col("sig").alias("y"))
     mean = a.join(b, F.col("a") < F.col("b")).agg(F.avg(jaccard(F.col("x"), F.col("y"))).alias("m"), F.count("*").alias("n_pairs"))
     any_row = store.agg((F.count("*") > 0).alias("some"))

@@ -165,11 +165,11 @@ def near_duplicate_top5(spark, d):
 
 def _questions(spark, d):
     """Every seventh document, in lower case and without its first words, is a query."""
-    docs = table(spark, d, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 20, 100000).alias("code")).where("length(code) > 0")
+    docs = table(spark, d, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("query_id"), F.expr("substring(text, 20)").alias("code")).where("length(code) > 0")
     return search.fingerprint(docs, WORD)
 
 
-_QUESTIONS = f"""q AS (SELECT doc_id AS query_id, substr(text, 20, 100000) AS code FROM documents WHERE doc_id % 7 = 0 AND length(substr(text, 20, 100000)) > 0),
+_QUESTIONS = f"""q AS (SELECT doc_id AS query_id, substr(text, 20) AS code FROM documents WHERE doc_id % 7 = 0 AND length(substr(text, 20)) > 0),
 qsh AS (SELECT query_id, CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' '))) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END AS s FROM (SELECT query_id, regexp_extract_all(lower(code), '([a-z0-9]+)', 1) AS t FROM q)),
 qeh AS (SELECT query_id, ('0x' || substr(md5(x), 1, 8))::BIGINT % {PRIME} AS x FROM (SELECT query_id, unnest(s) AS x FROM qsh)),
 qsg AS (SELECT query_id, k, min((a * x + b) % {PRIME}) AS v FROM qeh, perm GROUP BY ALL),
@@ -201,6 +201,50 @@ def find_benchmark(spark, d):
     return search.find(q, built(spark, d), LOOSE).select("query_id", "rank", "checksum", F.round("jaccard", 6).alias("jaccard"), F.round("score", 6).alias("score"))
 
 
+NAMES = SearchParams(tokenizer="word", ngram=1)
+_LCS = """r AS (SELECT k, x, y, 0 AS i, list_transform(range(0, length(y) + 1), lambda j: 0::BIGINT) AS row FROM {pairs}
+  UNION ALL SELECT k, x, y, i + 1, list_transform(range(1, length(y) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda m: greatest(row[m], CASE WHEN m > 1 AND y[m - 1] = x[i + 1] THEN row[m - 1] + 1 ELSE 0 END)))) FROM r WHERE i < length(x)),
+ratio AS (SELECT k, 200.0::DOUBLE * row[-1] / (length(x) + length(y)) AS e FROM r WHERE i = length(x))"""
+
+
+@query(f"""WITH RECURSIVE st AS (SELECT DISTINCT sha256(x) AS id, x AS code FROM (SELECT p_name || ' ' || p_type || ' ' || p_brand AS x FROM part WHERE p_partkey % 3 = 0)),
+q AS (SELECT 'q' || p_partkey AS id, p_name || ' ' || p_brand AS code FROM part WHERE p_partkey % 40 = 1), both_sides AS (SELECT * FROM st UNION ALL SELECT * FROM q),
+perm AS (SELECT unnest(range(128)) AS k, unnest({list(_A)}::BIGINT[]) AS a, unnest({list(_B)}::BIGINT[]) AS b),
+eh AS (SELECT id, ('0x' || substr(md5(x), 1, 8))::BIGINT % {PRIME} AS x FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(code), '([a-z0-9]+)', 1))) AS x FROM both_sides)),
+sg AS (SELECT id, k, min((a * x + b) % {PRIME}) AS v FROM eh, perm GROUP BY ALL),
+bands AS (SELECT id, k // {NAMES.bands[1]} AS band, string_agg(CAST(v AS VARCHAR), '-' ORDER BY k) AS bucket FROM sg WHERE k < {NAMES.bands[0]} * {NAMES.bands[1]} GROUP BY ALL),
+cand AS (SELECT DISTINCT x.id AS query, y.id AS checksum FROM bands x JOIN bands y USING (band, bucket) WHERE x.id LIKE 'q%' AND y.id NOT LIKE 'q%'),
+sim AS (SELECT query, checksum, count(*) FILTER (WHERE x.v = y.v) / 128.0::DOUBLE AS j FROM cand JOIN sg x ON x.id = query JOIN sg y ON y.id = checksum AND x.k = y.k GROUP BY ALL),
+pair AS (SELECT query || '/' || checksum AS k, q.code AS x, st.code AS y FROM cand JOIN q ON q.id = query JOIN st ON st.id = checksum), {_LCS.format(pairs="pair")},
+scored AS (SELECT query, checksum, j, e, j * 100.0::DOUBLE * {NAMES.jaccard_weight} + e * {1 - NAMES.jaccard_weight}::DOUBLE AS score FROM sim JOIN ratio ON k = query || '/' || checksum)
+SELECT CAST(substr(query, 2) AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, checksum, round(j, 6) AS jaccard, round(e, 6) AS edit_ratio, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, checksum) AS rank FROM scored) WHERE rank <= {NAMES.top_n}""")
+def find_names(spark, d):
+    """The hybrid ranking on short texts, whose edit ratios SQL can tell."""
+    part = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("code"), F.concat_ws(" ", "p_name", "p_brand").alias("question"))
+    own = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("name"), "code")
+    asked = search.fingerprint(part.where("p_partkey % 40 = 1").select(F.col("p_partkey").alias("query_id"), F.col("question").alias("code")), NAMES)
+    return search.find(asked, store.add_batch(store.empty(spark), own, NAMES), NAMES).select("query_id", "rank", "checksum", *(F.round(x, 6).alias(x) for x in ("jaccard", "edit_ratio", "score")))
+
+
+@query(f"{SIGNED} SELECT checksum, array_to_string(list_sort(names), ',') AS names, CAST(v AS BIGINT) AS total FROM store LEFT JOIN (SELECT checksum, sum(v) AS v FROM sg GROUP BY 1) USING (checksum)")
+def add_to_store(spark, d):
+    """A batch that comes to a store: known snippets get its names, new ones a signature."""
+    s = store.add_batch(built(spark, d, "doc_id % 3 > 0"), incoming(spark, d, "doc_id % 3 = 0"), WORD)
+    total = F.when(search.has_elements(F.col("sig")), F.aggregate("sig", F.lit(0).cast("bigint"), lambda a, x: a + x))
+    return s.select("checksum", F.array_join(F.array_sort("names"), ",").alias("names"), total.alias("total"))
+
+
+@query(f"""{LISTINGS}, t AS (SELECT ord, {_ASM_TOKENS} AS t FROM listing), s AS (SELECT ord, unnest(list_distinct(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' ')))) AS s FROM t),
+w AS (SELECT ord, s, CASE WHEN list_has_any(string_split(s, ' '), {list(text.RARE)}) THEN 3 WHEN len(list_filter(string_split(s, ' '), lambda x: x NOT IN {_IN(text.COMMON)})) = 0 THEN 1 ELSE 2 END AS w FROM s),
+el AS (SELECT ord, CASE WHEN w = 1 THEN s ELSE s || '|' || n END AS x FROM (SELECT ord, s, w, unnest(range(w)) AS n FROM w)),
+perm AS (SELECT unnest(range(128)) AS k, unnest({list(_A)}::BIGINT[]) AS a, unnest({list(_B)}::BIGINT[]) AS b),
+sg AS (SELECT ord, k, min((a * (('0x' || substr(md5(x), 1, 8))::BIGINT % {PRIME}) + b) % {PRIME}) AS v FROM el, perm GROUP BY ALL)
+SELECT ord, string_agg(CAST(v AS VARCHAR), '-' ORDER BY k) AS signature FROM sg GROUP BY 1""")
+def weighted_signatures(spark, d):
+    return search.fingerprint(listings(spark, d), ASM).select("ord", F.array_join(F.transform("sig", lambda v: v.cast("string")), "-").alias("signature"))
+
+
 @query("""WITH RECURSIVE p AS (SELECT p_partkey AS k, p_name AS x, p_type AS y FROM part WHERE p_partkey % 5 = 0),
 r AS (SELECT k, x, y, 0 AS i, list_transform(range(0, length(y) + 1), lambda j: 0::BIGINT) AS row FROM p
   UNION ALL SELECT k, x, y, i + 1, list_transform(range(1, length(y) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda m: greatest(row[m], CASE WHEN m > 1 AND y[m - 1] = x[i + 1] THEN row[m - 1] + 1 ELSE 0 END)))) FROM r WHERE i < length(x))
@@ -329,7 +373,7 @@ def store_stats(spark, d):
 @query(f"""{SIGNED}, s AS (SELECT checksum FROM store ORDER BY md5(checksum || '/0'), checksum LIMIT 100), p AS (SELECT a.checksum AS l, b.checksum AS r FROM s a JOIN s b ON a.checksum < b.checksum)
 SELECT round(avg(j), 9) AS avg_similarity, count(*) AS n_pairs FROM (SELECT l, r, count(*) FILTER (WHERE coalesce(a.v, {PRIME}) = coalesce(b.v, {PRIME})) / 128.0::DOUBLE AS j FROM p CROSS JOIN (SELECT k FROM perm) k LEFT JOIN sg a ON a.checksum = l AND a.k = k.k LEFT JOIN sg b ON b.checksum = r AND b.k = k.k GROUP BY ALL)""")
 def average_similarity(spark, d):
-    return store.average_similarity(built(spark, d), 100).withColumn("avg_similarity", F.round("avg_similarity", 9))
+    return store.average_similarity(built(spark, d), WORD, 100).withColumn("avg_similarity", F.round("avg_similarity", 9))
 
 
 @query(f"WITH {STORE} SELECT checksum FROM store ORDER BY md5(checksum || '/5'), checksum LIMIT 30")

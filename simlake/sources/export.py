@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_RESERVED = "^(?i)(con|prn|aux|nul|com[1-9]|lpt[1-9])$"
+_RESERVED = "^(?i)(con|prn|aux|nul|com[1-9]|lpt[1-9])([.].*)?$"
 
 
 def write_store(store: DataFrame, path: str, mode: str = "append") -> None:

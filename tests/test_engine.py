@@ -103,8 +103,8 @@ def test_lookup_paging_and_digest(spark, small):
 
 def test_stats_and_verify(spark, small):
     assert tuple(store.stats(store.empty(spark), P).first()) == (0, 0.0, 0)
-    assert store.average_similarity(store.empty(spark)).first()[0] == 0.0
-    assert store.average_similarity(small.limit(1)).first()[0] == 1.0
+    assert store.average_similarity(store.empty(spark), P).first()[0] == 0.0
+    assert store.average_similarity(small.limit(1), P).first()[0] == 1.0
     index = search.band_index(small, P)
     assert store.verify(small, P, index, P.fingerprint_key).first().n_issues == 0
     assert store.verify(small, P, index.limit(3)).first().n_issues == 1
@@ -139,6 +139,8 @@ def test_directory_source_and_sinks(spark, small, tmp_path):
     assert export.export_directory(odd, str(tmp_path / "out")) == 4
     assert len(list((tmp_path / "out").iterdir())) == 4
     rule = export.yara_rules(odd.where("code like 'a%'")).first().rule
+    assert rule.startswith("rule simlake_______etc_x_")
+    rule = export.yara_rules(odd.where("code like 'a%'").withColumn("names", F.array(F.lit("9 lives")))).first().rule
     assert '$text = "a\\"b\\\\\\n"' in rule and rule.startswith("rule simlake_r_")
     export.write_store(small, str(tmp_path / "store"))
     assert files.read_store(spark, str(tmp_path / "store")).count() == 2
@@ -172,3 +174,39 @@ def test_streaming_ingest_equals_batch(spark, tmp_path):
     got = {r.checksum for r in spark.read.parquet(str(tmp_path / "store" / "gen=1")).collect()}
     want = {r.checksum for r in store.add_batch(store.empty(spark), spark.createDataFrame(rows, schema), P).collect()}
     assert got == want
+
+
+def test_repeated_requests_leave_one_row_each(spark, small):
+    sums = [r.checksum for r in small.select("checksum").orderBy("checksum").collect()]
+    n = small.count()
+    asked = spark.createDataFrame([(sums[0], "b1"), (sums[0], "a1"), (sums[0], "b1"), ("none", "x")], "checksum string, name string")
+    s, out = store.name_add(small, asked)
+    assert s.count() == n and s.where(F.col("checksum") == sums[0]).first().names[-2:] == ["a1", "b1"]
+    assert sorted(r.status for r in out.collect()) == ["added", "added", "missing"]
+    every = s.where(F.col("checksum") == sums[0]).select("checksum", F.explode("names").alias("name"))
+    s, out = store.name_remove(s, every.union(every))
+    assert s.count() == n and len(s.where(F.col("checksum") == sums[0]).first().names) == 1
+    assert sum(r.status == "last" for r in out.collect()) == 1
+    boxes = spark.createDataFrame([("c1", "", None), ("c2", "", None)], "name string, description string, created_at timestamp")
+    s = store.collection_add(small, boxes, spark.createDataFrame([(sums[0], "c2"), (sums[0], "c1"), (sums[0], "no")], "checksum string, name string"))
+    assert s.count() == n and s.where(F.col("checksum") == sums[0]).first().collection == "c2"
+    s = store.collection_remove(s, spark.createDataFrame([(sums[0],), (sums[0],)], "checksum string"))
+    assert s.count() == n and s.where(F.col("checksum") == sums[0]).first().collection is None
+
+
+def test_signatures_of_another_length_are_left_out(spark, small):
+    odd = small.limit(1).withColumn("checksum", F.lit("f" * 64)).withColumn("sig", F.array(F.lit(1).cast("bigint")))
+    assert store.average_similarity(small.union(odd), P).first() == store.average_similarity(small, P).first()
+
+
+def test_comparison_uses_the_weight_it_is_given(spark, small):
+    import dataclasses
+
+    pair = small.agg(F.min("checksum").alias("left"), F.max("checksum").alias("right"))
+    r = search.compare(pair, small, dataclasses.replace(P, jaccard_weight=1.0), graphs=False).first()
+    assert abs(r.score - 100 * r.jaccard) < 1e-9
+
+
+def test_reserved_stems_with_an_extension(spark):
+    df = spark.createDataFrame([("a" * 64, ["con.x"]), ("b" * 64, ["console"])], "checksum string, names array<string>")
+    assert sorted(r.file_name for r in export.export_names(df).collect()) == ["_con.x.asm", "console.asm"]
