@@ -1,14 +1,14 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
 The vocabulary is the most frequent words of all documents, in order of frequency, and one unknown word; CLASSES classes of equal size are
-runs of that order. An unknown word is one of those of the corpus that the vocabulary leaves out, each with the same share of its probability, so a text
-of rare words has the price of picking them out. P(word | context) = P(class | context) P(word | class, context), both softmaxes of sums of weight
+runs of that order. Any other word of the corpus has a part of the unknown word's probability: its own share of all occurrences of such words, counted
+exactly, however many there are. So a text of rare words has the price of picking them out, and the rarer the dearer. P(word | context) = P(class | context) P(word | class, context), both softmaxes of sums of weight
 rows that features of the context select by hash: a bias, the last word, the last two words, and the skip feature of the word before the
 last. A row holds the weights of all classes, or of all words of a class, so that a batch of tokens is a few gathers and sums.
 
 Every document is trained on once. The documents are split by a hash into `rounds` parts; in each round every task starts from the shared weights,
 takes AdaGrad steps over the batches of its documents of that part, and emits its change of each row. Changes are averaged over the tasks that touched the row, by the tokens that did, and added.
-Which documents a task has depends on how the table is split, so scores differ slightly (in the third digit) between clusters. Word counts and changes go through the shuffle in packed blocks, so what is gathered grows with the corpus; what reaches the driver is one model.
+Which documents a task has depends on how the table is split, so scores differ slightly (in the third digit) between clusters. Word counts, rare words of texts and changes go through the shuffle in packed blocks, so what is gathered grows with the corpus; what reaches the driver is one model.
 
 Defined cases: null, empty and word-less texts have 0 tokens and a null score; repeated rows are scored alike; a corpus without words gives
 null scores; the first word of a text has a context of its own.
@@ -31,8 +31,12 @@ U = W.U
 #: Parameters of production.
 VOCABULARY, CLASSES, CLASS_ROWS, WORD_ROWS, ROUNDS, RATE, BATCH = 4096, 64, 1 << 13, 1 << 14, 3, 1.0, 8192
 _COUNT = np.dtype([("h", "<u8"), ("n", "<i8")])
+#: A rare word of a text and how often it stands there.
+_RARE = np.dtype([("h", "<u8"), ("text", "<i8"), ("n", "<u4")])
 #: Rows of weights in one emitted block.
 _BLOCK = 256
+#: Occurrences of rare words that one task prices.
+RARE_PER_TASK = 4_000_000
 
 
 def _sum_counts(parts: list[np.ndarray]) -> np.ndarray:
@@ -43,8 +47,9 @@ def _sum_counts(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def word_counts(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """The `size` most frequent words of all documents, most frequent first, ties by hash, and how many there are in all. Tasks sum up what they have, at most _SOME words at a time."""
+def word_counts(docs: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
+    """The `size` most frequent words of all documents, most frequent first, ties by hash; how many words there are in all, and how often the others occur, which rare_prices() gives their shares.
+    Tasks sum up what they have, some words at a time."""
     blocks = block_count(docs.sparkSession)
 
     def count(batches):
@@ -74,13 +79,14 @@ def word_counts(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
     def top(batches):
         total = _sum_counts([np.frombuffer(x.as_buffer() or b"", _COUNT) for b in batches for x in b.column(1)])
         best = total[np.lexsort((total["h"], -total["n"]))[:size]]
-        yield pa.RecordBatch.from_arrays([pa.array([best.tobytes()], pa.binary()), pa.array([len(total)], pa.int64())], ["top", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([best.tobytes()], pa.binary()), pa.array([len(total)], pa.int64()), pa.array([int(total["n"].sum())], pa.int64())], ["top", "n", "tokens"])
 
-    total, types = np.zeros(0, _COUNT), 0
-    for best, n in with_text(docs, "text").mapInArrow(count, PACKED).repartition("pid").mapInArrow(top, "top binary, n bigint").toLocalIterator():
+    total, types, tokens = np.zeros(0, _COUNT), 0, 0
+    for best, n, some in with_text(docs, "text").mapInArrow(count, PACKED).repartition("pid").mapInArrow(top, "top binary, n bigint, tokens bigint").toLocalIterator():
         total = np.concatenate([total, np.frombuffer(best, _COUNT)])
         total, types = total[np.lexsort((total["h"], -total["n"]))[:size]], types + n
-    return total["h"].copy(), types
+        tokens += some
+    return total["h"].copy(), types, tokens - int(total["n"].sum())
 
 
 @dataclass
@@ -91,6 +97,8 @@ class Model:
     classes: int
     #: Distinct words of the corpus, those of the vocabulary included.
     types: int = 0
+    #: Occurrences of all words that aren't of the vocabulary.
+    rare: int = 0
 
     def __post_init__(self):
         self.table = W.Table(self.words, np.arange(len(self.words)))
@@ -125,7 +133,7 @@ class Model:
         k, w = ids // self.per, ids % self.per
         fa, fb = self.rows(f, k)
         at = np.arange(len(ids))
-        total, grads = np.where(ids == self.unknown, -np.log(max(1, self.types - len(self.words))), 0.0), []
+        total, grads = np.zeros(len(ids)), []
         for table, rows, hit in ((self.a, fa, k), (self.b, fb, w)):
             z = np.take(table, rows[0], axis=0)
             for r in rows[1:]:
@@ -146,7 +154,7 @@ class Trainer:
     """AdaGrad with one accumulator per row, on a task's own copy of the weights."""
 
     def __init__(self, m: Model, sums: list[np.ndarray], rate: float):
-        self.m = Model(m.words, m.a.copy(), m.b.copy(), m.classes, m.types)
+        self.m = Model(m.words, m.a.copy(), m.b.copy(), m.classes, m.types, m.rare)
         self.sums, self.rate = [s.copy() for s in sums], rate
         self.touched = [np.zeros(len(m.a), np.float32), np.zeros(len(m.b), np.float32)]
 
@@ -173,8 +181,8 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES,
     if vocabulary % classes or classes % 2 or vocabulary // classes % 2:
         raise ValueError("classes divide the vocabulary, into classes of even size, and are even themselves")
     spark = docs.sparkSession
-    words, types = word_counts(docs, vocabulary - 1)
-    m = Model(words, np.zeros((class_rows, classes), np.float32), np.zeros((word_rows + classes, vocabulary // classes), np.float32), classes, types)
+    words, types, rare = word_counts(docs, vocabulary - 1)
+    m = Model(words, np.zeros((class_rows, classes), np.float32), np.zeros((word_rows + classes, vocabulary // classes), np.float32), classes, types, rare)
     sums = [np.zeros(len(m.a), np.float32), np.zeros(len(m.b), np.float32)]
     if not len(words):
         return m
@@ -228,19 +236,71 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES,
             n = v[cells : cells + n_rows]
             table[i : i + _BLOCK] += v[:cells].reshape(n_rows, -1) / np.maximum(n, 1)[:, None]
             new_sums[k][i : i + _BLOCK] += v[cells + n_rows :]
-        m, sums = Model(words, a, b, classes, types), new_sums
+        m, sums = Model(words, a, b, classes, types, rare), new_sums
     return m
 
 
+def rare_prices(rows: DataFrame, shared, rare: int) -> DataFrame:
+    """(key, price) of each distinct text of rows (key, text), where it has words that aren't of the vocabulary: the sum of the logarithms of their shares of all `rare` occurrences of such words.
+    Rows of one key are one text."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rare // RARE_PER_TASK))
+    blocks = max(block_count(spark), 4 * tasks)
+
+    def find(batches):
+        parts: list[np.ndarray] = []
+
+        def out():
+            every = np.concatenate(parts)
+            return packed_batch(list(pack(every["h"], every, blocks)))
+
+        for b in batches:
+            key = np.asarray(b.column(0))
+            for c in W.chunks(b.column(1)):
+                some = np.flatnonzero(shared.value.table.get(c.h) < 0)
+                h, row = c.h[some], c.rows()[some]
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, np.int64)
+                p = np.empty(len(at), _RARE)
+                p["h"], p["text"], p["n"] = h[at], key[c.lo + row[at]], np.diff(np.append(at, len(h)))
+                parts.append(p)
+                if sum(map(len, parts)) > 1_000_000:
+                    yield out()
+                    parts = []
+        if sum(map(len, parts)):
+            yield out()
+
+    def price(batches):
+        parts = [np.frombuffer(x.as_buffer() or b"", _RARE) for b in batches for x in b.column(1)]
+        if not parts:
+            return
+        rec = np.concatenate(parts)
+        del parts
+        rec = rec[np.lexsort((rec["text"], rec["h"]))]
+        at = np.flatnonzero(np.append(True, rec["h"][1:] != rec["h"][:-1]))
+        share = np.log(np.add.reduceat(rec["n"], at, dtype=np.int64) / rare)
+        share = np.repeat(share, np.diff(np.append(at, len(rec))))
+        # A text that several rows have counts as often in the shares, and once in its own sum.
+        once = np.append(True, (rec["h"][1:] != rec["h"][:-1]) | (rec["text"][1:] != rec["text"][:-1]))
+        key, of = np.unique(rec["text"][once], return_inverse=True)
+        paid = np.bincount(of, share[once] * rec["n"][once], len(key))
+        for i in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(paid[i : i + 100_000])], ["key", "price"])
+
+    return rows.select("key", "text").mapInArrow(find, PACKED).repartition(tasks, "pid").mapInArrow(price, "key bigint, price double").groupBy("key").agg(F.sum("price").alias("price"))
+
+
 def score(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, n_tokens, log_probability, perplexity) of each row, by a model trained on all rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, **how))
+    model = train(docs, **how)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):
         for b in batches:
             n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
             m = shared.value
-            for c in W.chunks(b.column(1)):
+            for c in W.chunks(b.column(2)):
                 n[c.lo : c.hi] = np.diff(c.word_at)
                 if not len(c.h) or not len(m.words):
                     continue
@@ -249,6 +309,10 @@ def score(docs: DataFrame, **how) -> DataFrame:
                 log_p = np.concatenate([m.log_probability(ids[i : i + BATCH], f[:, i : i + BATCH]) for i in range(0, len(ids), BATCH)])
                 total[c.lo : c.hi] = np.bincount(row, log_p, c.hi - c.lo)
             none = (n == 0) | (len(m.words) == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.round(total, 4), mask=none), pa.array(np.round(np.exp(-total / np.maximum(n, 1)), 4), mask=none)], ["doc_id", "n_tokens", "log_probability", "perplexity"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(total, mask=none)], ["key", "doc_id", "n_tokens", "total"])
 
-    return with_text(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(each, "doc_id bigint, n_tokens bigint, log_probability double, perplexity double")
+    rows = with_text(docs, "doc_id", "text").select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    out = rows.mapInArrow(each, "key bigint, doc_id bigint, n_tokens bigint, total double")
+    if model.rare:
+        out = out.join(rare_prices(rows, shared, model.rare), "key", "left").withColumn("total", F.col("total") + F.coalesce("price", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", F.round("total", 4).alias("log_probability"), F.round(F.exp(-F.col("total") / F.col("n_tokens")), 4).alias("perplexity"))

@@ -293,3 +293,29 @@ def test_scores_are_those_of_a_model_written_out(make_docs, monkeypatch):
             zb = [sum(float(m.b[r][j]) for r in rows) for j in range(4)]
             total += soft(za, klass) + soft(zb, place) - (math.log(max(1, m.types - len(m.words))) if w == 7 else 0)
         assert got[i].n_tokens == len(ids) and (not ids or abs(got[i].log_probability - total) < 2e-3), t
+
+
+def test_words_beyond_the_vocabulary_have_their_exact_shares(make_docs, monkeypatch):
+    """However many they are; a row that repeats another counts in the shares, and its own price stays that of one text."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(maxent, "RARE_PER_TASK", 50)
+    texts = ["a b a b c a b c", "q1 a q2 q2 b", "q1 a q2 q2 b", "a q3 q1", *(f"a b c r{i} r{i // 2}" for i in range(200)), "a b", "", None]
+    docs = make_docs(texts)
+    how = {"vocabulary": 4, "classes": 2, "class_rows": 64, "word_rows": 64, "batch": 32}
+    m = maxent.train(docs, **how)
+    monkeypatch.setattr(maxent, "train", lambda docs, **_: m)
+    got = {x.doc_id: x for x in maxent.score(docs).collect()}
+    assert len(got) == len(texts) and len(m.words) == 3
+    rare = Counter(w for t in texts for w in (t or "").split() if w not in ("a", "b", "c"))
+    assert m.rare == sum(rare.values()) and m.types == 3 + len(rare)
+    for i, t in enumerate(texts):
+        c = next(W.chunks(pa.array([t])))
+        if not len(c.h):
+            assert got[i].log_probability is None
+            continue
+        model = float(m.log_probability(m.ids(c), m.features(m.ids(c), c.rows())).sum())
+        paid = sum(math.log(rare[w] / m.rare) for w in t.split() if w in rare)
+        assert abs(got[i].log_probability - model - paid) < 2e-4, t
+        assert abs(got[i].perplexity / math.exp(-(model + paid) / len(c.h)) - 1) < 1e-3
