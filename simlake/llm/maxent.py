@@ -4,7 +4,8 @@ The vocabulary is the most frequent words of all documents, in order of frequenc
 runs of that order. Any other word of the corpus has a part of the unknown word's probability: its own share of all occurrences of such words, counted
 exactly, however many there are. So a text of rare words has the price of picking them out, and the rarer the dearer. P(word | context) = P(class | context) P(word | class, context), both softmaxes of sums of weight
 rows that features of the context select by hash: a bias, the last word, the last two words, and the skip feature of the word before the
-last. A row holds the weights of all classes, or of all words of a class, so that a batch of tokens is a few gathers and sums.
+last. A row holds the weights of all classes, or of all words of a class, so that a batch of tokens is a few gathers and sums. Tokens of a batch
+with the same two words before them share the sums of classes, and those whose class is the same, too, the sums of words.
 
 Every document is trained on once. The documents are split by a hash into `rounds` parts; in each round every task starts from the shared weights,
 takes AdaGrad steps over the batches of its documents of that part, and emits its change of each row. Changes are averaged over the tasks that touched the row, by the tokens that did, and added.
@@ -121,35 +122,60 @@ class Model:
         one, two = one.astype(U), two.astype(U)
         return np.stack([np.zeros(len(ids), U), W.mix(one + U(1 << 40)), W.mix(one + (two << U(20)) + U(1 << 41)), W.mix(two + U(1 << 42))])
 
-    def rows(self, f: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class rows and word rows that features select; the bias has rows of its own, which come first."""
+    def class_rows(self, f: np.ndarray) -> np.ndarray:
+        """The class rows that features select; the bias has a row of its own, which comes first."""
         fa = 1 + (f % U(len(self.a) - 1)).astype(np.int64)
+        fa[0] = 0
+        return fa
+
+    def word_rows(self, f: np.ndarray, klass: np.ndarray) -> np.ndarray:
+        """The word rows that features and classes select; each class's bias has a row of its own, which come first."""
         fb = self.classes + (W.mix(f + klass.astype(U) * U(0x9E3779B97F4A7C15)) % U(len(self.b) - self.classes)).astype(np.int64)
-        fa[0], fb[0] = 0, klass
-        return fa, fb
+        fb[0] = klass
+        return fb
 
     def log_probability(self, ids: np.ndarray, f: np.ndarray, gradient: bool = False):
-        """Log-probability of each token; with gradient also the rows and, for each token, the derivatives of the loss by the rows' weights."""
+        """Log-probability of each token; with gradient also, for classes and for words, the rows that tokens of one context (and class) have, the number of such tokens,
+        and the derivatives of their loss by the rows' weights."""
         k, w = ids // self.per, ids % self.per
-        fa, fb = self.rows(f, k)
-        at = np.arange(len(ids))
+        _, first, context = np.unique(f[2], return_index=True, return_inverse=True)
+        _, both, pair = np.unique(context * self.classes + k, return_index=True, return_inverse=True)
         total, grads = np.zeros(len(ids)), []
-        for table, rows, hit in ((self.a, fa, k), (self.b, fb, w)):
+        for table, rows, of, hit in ((self.a, self.class_rows(f[:, first]), context, k), (self.b, self.word_rows(f[:, both], k[both]), pair, w)):
             z = np.take(table, rows[0], axis=0)
             for r in rows[1:]:
                 z += np.take(table, r, axis=0)
             z -= z.max(1, keepdims=True)
-            total += z[at, hit]
+            at = of * z.shape[1] + hit
+            total += z.ravel()[at]
             e = np.exp(z, out=z)
             s = e.sum(1)
-            total -= np.log(s)
+            total -= np.log(s)[of]
             if gradient:
-                e /= s[:, None]
-                e[at, hit] -= 1
-                grads.append((rows, e))
+                n = np.bincount(of, minlength=len(e)).astype(np.float32)
+                e *= (n / s)[:, None]
+                np.subtract.at(e.ravel(), at, np.float32(1))
+                grads.append((rows, n, e))
         return (total, grads) if gradient else total
 
 
+def sums_of_runs(g: np.ndarray, source: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the rows g[source[at[i] : at[i + 1]]], the last to the end. Runs are cut to powers of two, so that those of one length are summed together."""
+    left = np.diff(np.append(at, len(source)))
+    out = np.zeros((len(at), g.shape[1]), g.dtype)
+    who, at, size = np.arange(len(at)), at.copy(), 1
+    while len(who):
+        odd = np.flatnonzero(left & 1)
+        if len(odd):
+            rows = np.take(g, source[(at[odd][:, None] + np.arange(size)).ravel()], axis=0)
+            out[who[odd]] += rows.reshape(len(odd), size, -1).sum(1) if size > 1 else rows
+            at[odd] += size
+        left >>= 1
+        more = left > 0
+        who, at, left, size = who[more], at[more], left[more], size * 2
+    return out
+
+
 class Trainer:
     """AdaGrad with one accumulator per row, on a task's own copy of the weights."""
 
@@ -159,21 +185,22 @@ class Trainer:
         self.touched = [np.zeros(len(m.a), np.float32), np.zeros(len(m.b), np.float32)]
 
     def step(self, ids: np.ndarray, f: np.ndarray) -> None:
-        for k, (rows, g) in enumerate(self.m.log_probability(ids, f, True)[1]):
+        for k, (rows, n, g) in enumerate(self.m.log_probability(ids, f, True)[1]):
             table = (self.m.a, self.m.b)[k]
             flat = rows.ravel()
             flat = flat.astype(np.uint16) if len(table) <= 1 << 16 else flat  # which numpy sorts by digits
             order = np.argsort(flat, kind="stable")
             some = flat[order]
+            order %= len(g)
             at = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
             u = some[at].astype(np.int64)
-            n = np.diff(np.append(at, len(some))).astype(np.float32)
-            # Two floats are summed as one complex number.
-            total = np.add.reduceat(np.take(g, order % len(ids), axis=0).view(np.complex64), at, axis=0).view(np.float32)
+            n = np.add.reduceat(n[order], at)
+            total = sums_of_runs(g, order, at)
             total /= np.sqrt(n)[:, None]
-            self.sums[k][u] += (total * total).sum(1)
+            self.sums[k][u] += np.einsum("ij,ij->i", total, total)
             self.touched[k][u] += n
-            table[u] -= self.rate * total / np.sqrt(self.sums[k][u] + 1e-3)[:, None]
+            total *= (self.rate / np.sqrt(self.sums[k][u] + 1e-3))[:, None]
+            table[u] -= total
 
 
 def train(docs: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES, class_rows: int = CLASS_ROWS, word_rows: int = WORD_ROWS, rounds: int = ROUNDS, rate: float = RATE, batch: int = BATCH) -> Model:
@@ -306,7 +333,8 @@ def score(docs: DataFrame, **how) -> DataFrame:
                     continue
                 ids, row = m.ids(c), c.rows()
                 f = m.features(ids, row)
-                log_p = np.concatenate([m.log_probability(ids[i : i + BATCH], f[:, i : i + BATCH]) for i in range(0, len(ids), BATCH)])
+                some = 16 * BATCH  # the more tokens, the more of them share a context
+                log_p = np.concatenate([m.log_probability(ids[i : i + some], f[:, i : i + some]) for i in range(0, len(ids), some)])
                 total[c.lo : c.hi] = np.bincount(row, log_p, c.hi - c.lo)
             none = (n == 0) | (len(m.words) == 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(total, mask=none)], ["key", "doc_id", "n_tokens", "total"])

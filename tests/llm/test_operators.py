@@ -319,3 +319,28 @@ def test_words_beyond_the_vocabulary_have_their_exact_shares(make_docs, monkeypa
         paid = sum(math.log(rare[w] / m.rare) for w in t.split() if w in rare)
         assert abs(got[i].log_probability - model - paid) < 2e-4, t
         assert abs(got[i].perplexity / math.exp(-(model + paid) / len(c.h)) - 1) < 1e-3
+
+
+def test_steps_are_those_of_single_tokens():
+    """A step over tokens that share contexts changes the weights as one does that sums up each token's own derivatives."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    m = maxent.Model(np.sort(r.integers(0, 1 << 62, 15).astype(W.U)), r.normal(size=(32, 4)).astype(np.float32), r.normal(size=(68, 4)).astype(np.float32), 4)
+    ids = r.integers(0, 4, 300) * r.integers(1, 5, 300)
+    ids = np.minimum(ids, 15)
+    f = m.features(ids, np.arange(300) // 50)
+    t = maxent.Trainer(m, [np.full(32, 0.1, np.float32), np.full(68, 0.1, np.float32)], 0.5)
+    t.step(ids, f)
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for table, new, rows, hits, touched in ((m.a, t.m.a, m.class_rows(f), ids // 4, t.touched[0]), (m.b, t.m.b, m.word_rows(f, ids // 4), ids % 4, t.touched[1])):
+        total, n = np.zeros(table.shape), np.zeros(len(table))
+        for own, hit in zip(rows.T, hits):
+            g = soft(table[own].astype(float).sum(0)) - np.eye(4)[hit]
+            for row in own:
+                total[row] += g
+                n[row] += 1
+        total /= np.sqrt(np.maximum(n, 1))[:, None]
+        assert (n == touched).all()
+        want = table - 0.5 * total / np.sqrt(0.1 + (total * total).sum(1) + 1e-3)[:, None]
+        assert np.abs(new - want).max() < 1e-4
