@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import npwords as W
 from .neargroups import PACKED, Membership, block_count, pack, packed_batch, regroup, verified_groups
-from .tables import cut, fresh, with_text
+from .tables import cut, fresh, released, with_text
 
 U = W.U
 #: Parameters of production.
@@ -174,7 +174,7 @@ def multiset_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, thres
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bags, pa.binary())], ["id", "thing"])
 
-        return text.mapInArrow(feats, "id bigint, thing binary").dropDuplicates(["id"])
+        return text.mapInArrow(released(feats), "id bigint, thing binary").dropDuplicates(["id"])
 
     def holds(both: DataFrame) -> DataFrame:
         def overlap(batches):
@@ -185,9 +185,9 @@ def multiset_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, thres
                     keep.append(min(len(x), len(y)) >= threshold * max(len(x), len(y)) and overlap_of(x, y) >= threshold)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return both.mapInArrow(overlap, "a bigint, b bigint")
+        return both.mapInArrow(released(overlap), "a bigint, b bigint")
 
-    return verified_groups(lambda: regroup(text.mapInArrow(sign, PACKED), _KEY, _buckets), fetch, holds)
+    return verified_groups(lambda: regroup(text.mapInArrow(released(sign), PACKED), _KEY, _buckets), fetch, holds)
 
 
 def overlap_of(x: np.ndarray, y: np.ndarray) -> float:
@@ -215,7 +215,7 @@ def _with_id(docs: DataFrame, name: str, among=None) -> DataFrame:
                 out[c.lo : c.hi], ok[c.lo : c.hi] = ids, has if among is None else has & among.value.has(ids)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, mask=~ok)], [*b.schema.names, name])
 
-    return docs.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(released(each), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _members(docs: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:

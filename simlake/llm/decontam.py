@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import npwords as W
-from .tables import fresh, replace_text, with_text
+from .tables import fresh, released, replace_text, with_text
 
 #: Parameters of production.
 MAX_WORDS, MIN_WORDS, MAX_COVERAGE, BRIDGE, BROADCAST_WORDS = 13, 8, 0.5, 2, 4_000_000
@@ -227,7 +227,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, finish, schema, max_words, min
                 elif (out := finish(own, text, rows)) is not None:
                     yield out
 
-        docs = docs.mapInArrow(each, schema if last else kept)
+        docs = docs.mapInArrow(released(each), schema if last else kept)
     return docs
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import npwords as W
-from .tables import with_text
+from .tables import released, with_text
 from .token_counts import VOCABULARY, Encoder
 
 #: Parameters of production.
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, window: int = WINDOW, sentence_cost: int = SENTENCE_CO
 
     own = with_text(docs, "doc_id", "text").where("text is not null and text != ''")
     own = own.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.floor(F.col("doc_id") / shard_span).cast("bigint").alias("shard"), F.xxhash64("text").alias("tie"), "text")
-    return own.mapInArrow(places, "doc_id bigint, shard bigint, tie bigint, cuts binary").where("cuts is not null").groupBy("shard").applyInArrow(windows, WINDOWS)
+    return own.mapInArrow(released(places), "doc_id bigint, shard bigint, tie bigint, cuts binary").where("cuts is not null").groupBy("shard").applyInArrow(windows, WINDOWS)
 
 
 def window_texts(windows: DataFrame, docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import npwords as W
-from .tables import same_columns, with_text
+from .tables import released, same_columns, with_text
 
 #: Parameters of production. FEATURES is a power of two.
 SAMPLE, FEATURES, EPOCHS, MIN_DOCS, L1, BIAS, THRESHOLD, SENTENCE_THRESHOLD = 10_000, 1 << 18, 60, 5, 3e-4, -10.0, 0.5, 0.5
@@ -101,7 +101,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int
 
     # The sample's ids are bounded by the parameter, so their side may be broadcast.
     joined = with_text(docs, "doc_id", "text").join(F.broadcast(own), "doc_id").select("toxic", "text")
-    return [(int(r[0]), bytes(r[1])) for r in joined.mapInArrow(each, "toxic int, feats binary").collect()]
+    return [(int(r[0]), bytes(r[1])) for r in joined.mapInArrow(released(each), "toxic int, feats binary").collect()]
 
 
 #: Documents whose sentences are held as arrays at a time while fitting.
@@ -209,7 +209,7 @@ def offending_sentences(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
                 kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], ["doc_id", "doc_score", "sentence", "start", "end", "score", "sentence_text"])
 
-    return with_text(docs, "doc_id", "text").mapInArrow(each, SENTENCES)
+    return with_text(docs, "doc_id", "text").mapInArrow(released(each), SENTENCES)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -344,3 +344,31 @@ def test_steps_are_those_of_single_tokens():
         assert (n == touched).all()
         want = table - 0.5 * total / np.sqrt(0.1 + (total * total).sum(1) + 1e-3)[:, None]
         assert np.abs(new - want).max() < 1e-4
+
+
+def test_workers_give_back_what_a_task_has_freed(spark):
+    """In one Python process, whose heap ends in an object that lives on, so that only an explicit release shrinks it."""
+    from simlake.llm.tables import arrow_map
+
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+
+    def task(batch):
+        import numpy as np
+
+        if not hasattr(np, "_kept"):
+            np._kept = []
+        parts = [np.ones(8_000) for _ in range(4_000)]  # 256 MB in pieces that the heap serves
+        np._kept.append(parts.pop())
+        most = resident()
+        del parts
+        return pa.RecordBatch.from_arrays([pa.array([most]), pa.array([float(len(np._kept))])], ["most", "tasks"])
+
+    def look(batch):
+        return pa.RecordBatch.from_arrays([pa.array([resident()])], ["now"])
+
+    one = spark.range(1, numPartitions=1)
+    most = arrow_map(one, task, "most double, tasks double").collect()[0].most
+    # Idle processes are taken again one after another; the one that ran the task is among them.
+    now = [arrow_map(one, look, "now double").collect()[0].now for _ in range(3)]
+    assert most > 250 and max(now) < most - 200
