@@ -199,3 +199,48 @@ def test_buckets_of_long_keys_are_those_of_brute_force():
         got = {frozenset(p) for b in np.split(ids, np.cumsum(sizes)[:-1]) for p in itertools.combinations(b.tolist(), 2)}
         want = {frozenset(p) for k in np.unique(rec["key"]) for p in itertools.combinations(rec["id"][rec["key"] == k].tolist(), 2)}
         assert got == want, bits
+
+
+def test_lines_that_only_share_a_passage_are_left_out_by_sketches(spark, make_docs, monkeypatch):
+    r = random.Random(12)
+    seen, real = [], D.verified_groups
+
+    def words(n):
+        return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8))) for _ in range(n))
+
+    def counted(candidates, fetch, holds, *more):
+        def held(both):
+            seen.append(both.count())
+            return holds(both)
+
+        return real(candidates, fetch, held, *more)
+
+    monkeypatch.setattr(D, "verified_groups", counted)
+    passage = words(25)
+    texts = [f"{words(5 + 3 * i)} {passage} {words(65 - 3 * i)}" for i in range(20)]
+    texts += [texts[0].replace("a", "b", 3), words(90)]
+    rows = D.near_lines(make_docs(texts)).collect()
+    assert len(rows) == 2 and len({x.root for x in rows}) == 1
+    assert 1 <= sum(seen) <= 8, seen
+
+
+def test_lengths_and_places_that_near_lines_allow():
+    r = random.Random(8)
+    for _ in range(300):
+        a = [r.choice("abcd") for _ in range(r.randint(10, 80))]
+        b = list(a)
+        for _ in range(r.randint(0, len(a) // 10)):
+            p = r.randint(0, len(b))
+            b[p : p + r.randint(0, 1)] = r.choice([[], ["x"]])
+        ok, far = D.may_differ(np.array([len(a)]), np.array([len(b)]), D.SIMILARITY)
+        near = distance(a, b) <= int((1 - D.SIMILARITY) * max(len(a), len(b)) + 1e-9)
+        assert ok[0] or not near
+        assert far[0] == int(0.1 * max(len(a), len(b)) + 1e-9)
+    assert D.may_differ(np.array([70_000]), np.array([65_000]), 0.9)[1].tolist() == [65535]
+
+
+def test_equal_minima_of_other_grams_make_no_bucket():
+    rec = np.zeros(6, D._REC)
+    rec["key"], rec["id"], rec["len"], rec["sure"] = 9, np.arange(6), 50, [1, 2, 2, 3, 4, 1]
+    ids, sizes, pos = D.placed_in_blocks(rec, D.SIMILARITY)
+    assert ids.tolist() == [0, 5, 1, 2] and sizes.tolist() == [2, 2] and len(pos) == 4
