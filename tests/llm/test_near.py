@@ -9,6 +9,7 @@ from simlake.llm import bagminhash as B
 from simlake.llm import npwords as W
 from simlake.llm.components import connected_components, roots
 from simlake.llm import line_dedup as D
+from simlake.llm.neargroups import met
 from simlake.llm.line_dedup import drop_duplicate_lines, duplicate_lines, edits_within
 
 
@@ -244,3 +245,27 @@ def test_equal_minima_of_other_grams_make_no_bucket():
     rec["key"], rec["id"], rec["len"], rec["sure"] = 9, np.arange(6), 50, [1, 2, 2, 3, 4, 1]
     ids, sizes, pos = D.placed_in_blocks(rec, D.SIMILARITY)
     assert ids.tolist() == [0, 5, 1, 2] and sizes.tolist() == [2, 2] and len(pos) == 4
+
+
+def test_blocks_of_two_passes_are_those_of_one():
+    r = random.Random(4)
+    c = next(W.chunks(pa.array(["\n".join(" ".join(r.choice(["alpha", "be", "gamma7", "deltas"]) for _ in range(r.randint(4, 60))) for _ in range(30))])))
+    whole = D.sketches(c, 0.9, 26, 27)
+    parts = np.concatenate([D.sketches(c, 0.9, 13, 27, lo) for lo in (0, 13)])
+    assert sorted(whole.tolist()) == sorted(parts.tolist())
+
+
+def test_a_thing_moves_to_its_pairs_block_once(spark):
+    # Sixty things of one leader, all pairs: each thing is there once for all of its pairs, and all pairs get their verdict.
+    things = spark.createDataFrame([(k, f"t{k}") for k in range(60)], "id bigint, thing string")
+    every = list(itertools.combinations(range(60), 2))
+    pairs = spark.createDataFrame([(a, b, 0) for a, b in every], "a bigint, b bigint, lead bigint")
+
+    def near(values, i, j):
+        assert len(values) <= 60 and len(set(values.to_pylist())) == len(values)
+        n = [int(t[1:]) for t in values.to_pylist()]
+        return np.array([(n[x] + n[y]) % 7 == 0 for x, y in zip(i, j)], bool)
+
+    for per_leader in (50_000, 100):
+        got = met(pairs, things, "thing", near, per_leader).collect()
+        assert sorted((x.a, x.b) for x in got) == [(a, b) for a, b in every if (a + b) % 7 == 0]
