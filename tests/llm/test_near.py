@@ -9,7 +9,7 @@ from simlake.llm import bagminhash as B
 from simlake.llm import npwords as W
 from simlake.llm.components import connected_components, roots
 from simlake.llm import line_dedup as D
-from simlake.llm.neargroups import met
+from simlake.llm.neargroups import enough, met
 from simlake.llm.line_dedup import drop_duplicate_lines, duplicate_lines, edits_within
 
 
@@ -269,3 +269,43 @@ def test_a_thing_moves_to_its_pairs_block_once(spark):
     for per_leader in (50_000, 100):
         got = met(pairs, things, "thing", near, per_leader).collect()
         assert sorted((x.a, x.b) for x in got) == [(a, b) for a, b in every if (a + b) % 7 == 0]
+
+
+def test_pairs_that_others_connect_get_no_verdict():
+    # Forty things of two groups, all pairs across: one near pair makes them one group. Of three groups that aren't near every pair gets its verdict.
+    i, j = (np.array(v) for v in zip(*itertools.product(range(20), range(20, 40))))
+    asked = []
+
+    def near(a, b):
+        asked.extend(zip(a.tolist(), b.tolist()))
+        return (a + b) % 3 == 0
+
+    ok = enough(near, i, j, i * 0, i * 0 + 1)
+    assert ok.sum() >= 1 and len(asked) <= 5 and ((i + j)[ok] % 3 == 0).all()
+    asked.clear()
+    pairs = np.array(list(itertools.combinations(range(0, 30, 3), 2)))
+    ok = enough(lambda a, b: near(a, b) & False, pairs[:, 0], pairs[:, 1], pairs[:, 0] // 10, pairs[:, 1] // 10)
+    assert not ok.any() and sorted(asked) == sorted(map(tuple, pairs[pairs[:, 0] // 10 != pairs[:, 1] // 10].tolist()))
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        i, j, group = r.integers(0, 40, 120), r.integers(0, 40, 120), r.integers(0, 12, 40)
+        good = r.random(120) < 0.2
+        number = np.arange(120)
+        ok = enough(lambda a, b: good[a], number, j, group[i], group[j])
+        whole, some = (dict(zip(*(v.tolist() for v in roots(group[i][k], group[j][k])))) for k in (good, ok))
+        assert not (ok & ~good).any()
+        assert all(some.get(g, g) == whole.get(g, g) for g in range(12))
+
+
+def test_blocks_of_one_order_are_found_in_one_look_at_each_gram():
+    r = np.random.default_rng(8)
+    g, other, place = r.integers(0, 1 << 32, 900, dtype=np.uint32), r.integers(0, 1 << 32, 900, dtype=np.uint32), np.arange(900, dtype=np.int32)
+    at = np.array([0, 5, 300])
+    line, block, value, sure, pos = D.parted_values(g, other, at, place, 26, 27, 0, 26)
+    own = np.searchsorted(at, pos, "right") - 1
+    assert (own == line).all() and (g[pos].astype(np.uint64) * np.uint64(26) >> np.uint64(32) == block).all()
+    assert len(set(zip(line.tolist(), block.tolist()))) == len(line) and (line == 0).sum() <= 5 and (line == 2).sum() == 26
+    # A line with all of another's grams in another order has its blocks.
+    order = 300 + r.permutation(600)
+    again = D.parted_values(g[order], other[order], np.array([0]), place[:600], 26, 27, 0, 26)
+    assert again[2].tolist() == value[line == 2].tolist() and again[3].tolist() == sure[line == 2].tolist()
