@@ -92,3 +92,12 @@ def test_lcs_ends_early_only_below_what_is_asked():
         x, y = ("".join(r.choice(list("abc"), r.integers(0, 700))) for _ in range(2))
         n = edit.lcs(x, y)
         assert edit.lcs(x, y, n) == n and edit.lcs(x, y, n + 1) in (-1, n) and edit.lcs(x, y, max(len(x), len(y)) + 1) in (-1, n)
+
+
+def test_queries_of_one_text_all_have_its_answer(spark, monkeypatch):
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 0)
+    p = SearchParams(tokenizer="word", top_n=2)
+    s = store.add_batch(store.empty(spark), spark.createDataFrame([(i, f"n{i}", f"a b c d {i % 3}") for i in range(6)], "ord int, name string, code string"), p)
+    q = search.fingerprint(spark.range(0, 3000, 1, 12).select(F.col("id").alias("query_id"), F.concat(F.lit("a b c d "), F.pmod(F.xxhash64("id"), F.lit(3)).cast("string")).alias("code")), p)
+    got = search.find(q, s, p).where("rank = 1")
+    assert got.count() == 3000 and got.agg(F.min("score")).first()[0] == 100.0
